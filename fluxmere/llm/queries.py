@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, sstable
+from . import mixing, packing, secret_ledger, sstable
 
 
 def queries() -> dict:
     return {
+        "op2_secrets": secret_ledger.op2_secrets,
+        "op4_mix": mixing.op4_mix,
         "op9_pack": packing.op9_pack,
         "op10_sstable_tokens": sstable.op10_sstable_tokens,
     }
