@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, multiset_hash, packing, secret_ledger, sstable
+from . import mixing, multiset_hash, near_dedup, packing, secret_ledger, sstable
 
 
 def queries() -> dict:
     return {
         "op2_secrets": secret_ledger.op2_secrets,
+        "op3_minhash": near_dedup.op3_minhash,
         "op4_mix": mixing.op4_mix,
         "op8_fingerprint": multiset_hash.op8_fingerprint,
         "op9_pack": packing.op9_pack,
