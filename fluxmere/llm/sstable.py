@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -231,9 +232,9 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, end_id: int
             shard, sink, w = shard + 1, None, None
 
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in common.chunks([len(t) for t in texts], 2_000_000):
-                flat, counts = codec.encode(texts[a:b])
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in common.chunks(pc.binary_length(texts).to_pylist(), 4_000_000):
+                flat, counts = codec.encode(texts.slice(a, b - a))
                 at = 0
                 for doc_id, n in zip(ids_of[a:b], counts.tolist()):
                     ids = flat[at : at + n] if end_id is None else np.append(flat[at : at + n], np.uint32(end_id))

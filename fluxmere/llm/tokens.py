@@ -1,22 +1,21 @@
 """Whole-text encoding with a public tokenizer file, through a bounded cache of words.
 
 The tokenizer drops white space and never merges across it, so the ids of a text are
-those of its words in turn. Each distinct word is encoded once per worker; texts that
-hold the control characters which Python alone counts as white space go to the
-tokenizer whole.
+those of its words in turn. Words are cut at ASCII blanks and dictionary-encoded by
+Arrow; each distinct word is encoded once while the cache holds it, and a word that has
+other blanks inside goes through the whole tokenizer like any odd one.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPECIAL = "<|startoftext|>"
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def default_path() -> str:
@@ -28,7 +27,7 @@ def default_path() -> str:
 class WordCodec:
     """Ids of texts by ``tokenizers``, ``add_special_tokens=False``, as flat arrays."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -39,76 +38,99 @@ class WordCodec:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limit = limit
         self.mark = self.whole.token_to_id(SPECIAL)
-        self.tails = {c: self.ids(c) for c in ".,"}
+        self.kind = np.uint16 if self.whole.get_vocab_size() <= 65536 else np.uint32
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
+        self.tails = {c: int(self.ids(c)[0]) for c in ".,"}
         self.reset()
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
     def reset(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _each(self, tokenizer, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word: encoded together around a mark that no text can merge with."""
-        out = []
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(tokenizer.encode_batch_fast([SPECIAL.join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        self.flat, self.start, self.size = np.zeros(0, self.kind), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each`` for words of letters: each ends at its one id with the end-of-word suffix."""
+        flat, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            cut = np.flatnonzero(self.ends[ids])
+            if len(cut) != len(part) or cut[-1] != len(ids) - 1:
+                return self._each(self.whole, words)
+            flat.append(ids)
+            sizes.append(np.diff(cut, prepend=-1))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _each(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in turn, number of ids of each word): encoded together around a mark that no text can merge with."""
+        flat, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            ids = np.array(tokenizer.encode_batch_fast([SPECIAL.join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) != len(part) - 1:  # a word holds the mark itself
-                out += [self.ids(w) for w in part]
+                own = [self.ids(w) for w in part]
+                flat += own
+                sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
             else:
-                edges = np.concatenate([[-1], cut, [len(ids)]])
-                out += [ids[a + 1 : b] for a, b in zip(edges[:-1], edges[1:])]
-        return out
+                flat.append(ids[ids != self.mark])
+                sizes.append(np.diff(cut, prepend=-1, append=len(ids)) - 1)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _learn(self, words: list[str]) -> None:
         cores: dict[str, int] = {}
-        plan: list[tuple[int, str]] = []
-        rest: list[str] = []
+        near, tail, rest, order = [], [], [], []
+        tails, put = self.tails, cores.setdefault
         for w in words:
-            tail = w[-1] if w[-1] in ".," else ""
-            s = (w[:-1] if tail else w).lower()
+            # a letter before the last stop or comma: both are encoded apart
+            t = tails.get(w[-1:], -1)
+            s = (w if t < 0 else w[:-1]).lower()
             # lower() may change the number of letters; such words go the long way
-            if s.isalpha() and (s.isascii() or (len(s) == len(w) - len(tail) and "ς" not in s and "σ" not in s and unicodedata.is_normalized("NFC", s))):
-                plan.append((cores.setdefault(s, len(cores)), tail))
+            if s.isalpha() and (s.isascii() or (len(s) == len(w) - (t >= 0) and "ς" not in s and "σ" not in s and unicodedata.is_normalized("NFC", s))):
+                near.append(put(s, len(cores)))
+                tail.append(t)
+                order.append(w)
             else:
-                plan.append((-1 - len(rest), ""))
                 rest.append(w)
-        near, far = self._each(self.plain, list(cores)), self._each(self.whole, rest)
-        new = []
-        for k, tail in plan:
-            x = far[-1 - k] if k < 0 else near[k]
-            new.append(np.concatenate([x, self.tails[tail]]) if tail else x)
-        n = np.fromiter(map(len, new), np.int64, len(new))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-        self.size = np.concatenate([self.size, n])
-        self.flat = np.concatenate([self.flat, *new])
+        flat, sizes = self._letters(list(cores))
+        near, tail = np.array(near, np.int64), np.array(tail, np.int64)
+        first, own = (np.cumsum(sizes) - sizes)[near], sizes[near]
+        size = own + (tail >= 0)
+        end = np.cumsum(size)
+        at = np.repeat(first - (end - size), size) + np.arange(int(size.sum()))
+        ids = flat[np.minimum(at, max(0, len(flat) - 1))] if len(flat) else flat
+        ids[(end - 1)[tail >= 0]] = tail[tail >= 0]
+        odd, odd_size = self._each(self.whole, rest)
+        size = np.concatenate([size, odd_size])
+        self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.flat = np.concatenate([self.flat, ids, odd])
         base = len(self.code)
-        self.code.update(zip(words, range(base, base + len(words))))
+        self.code.update(zip(order + rest, range(base, base + len(words))))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in turn, number of ids of each text)."""
-        odd = {i: self.ids(t) for i, t in enumerate(texts) if ODD_SPACE.search(t)}
-        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts = pc.ascii_split_whitespace(texts)
+        words = parts.flatten().dictionary_encode()
+        n_words = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        seen = words.dictionary.to_pylist()
         if len(self.code) > self.limit:
             self.reset()
-        if new := list(set().union(*words).difference(self.code)) if words else []:
+        if new := [w for w in seen if w not in self.code]:
             self._learn(new)
-        n_words = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.code.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n_words.sum()))
+        code = np.fromiter(map(self.code.__getitem__, seen), np.int32, len(seen))
+        # 32 bits hold any place: a batch of texts and the cache are each far below 2 GB
+        at = code[np.asarray(words.indices)]
         size = self.size[at]
-        begin = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.start[at] - begin, size) + np.arange(int(size.sum()))]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n_words)]
-        counts = np.diff(ends, prepend=0)
-        if odd:
-            parts = np.split(ids, ends[:-1])
-            for i, x in odd.items():
-                parts[i], counts[i] = x, len(x)
-            ids = np.concatenate(parts)
-        return ids, counts
+        end = np.cumsum(size, dtype=np.int64)
+        total = int(end[-1]) if len(end) else 0
+        from_to = np.repeat(self.start[at] - (end - size).astype(np.int32), size)
+        from_to += np.arange(total, dtype=np.int32)
+        return self.flat[from_to], np.diff(np.concatenate([[0], end])[np.cumsum(n_words)], prepend=0)
 
 
 _codecs: dict[str, WordCodec] = {}
