@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, multiset_hash, near_dedup, packing, secret_ledger, sstable
+from . import media, mixing, multiset_hash, near_dedup, packing, secret_ledger, sstable
 
 
 def queries() -> dict:
     return {
+        "op1_media": media.op1_media,
         "op2_secrets": secret_ledger.op2_secrets,
         "op3_minhash": near_dedup.op3_minhash,
         "op4_mix": mixing.op4_mix,
