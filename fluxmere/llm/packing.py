@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +80,10 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokens.codec(path)
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
+            ids_of, texts = batch.column(0), batch.column(1)
             rows, owner = [], []
-            for a, b in common.chunks([len(t) for t in texts], 2_000_000):
-                flat, counts = codec.encode(texts[a:b])
+            for a, b in common.chunks(pc.binary_length(texts).to_pylist(), 4_000_000):
+                flat, counts = codec.encode(texts.slice(a, b - a))
                 at = 0
                 for i, n in enumerate(counts.tolist(), a):
                     ids = np.append(flat[at : at + n], np.uint32(end_id)).astype("<u4")
