@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, multiset_hash, near_dedup, packing, secret_ledger, sstable
+from . import media, mixing, multiset_hash, near_dedup, packing, repeats, secret_ledger, sstable
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_secrets": secret_ledger.op2_secrets,
         "op3_minhash": near_dedup.op3_minhash,
         "op4_mix": mixing.op4_mix,
+        "op6_suffix_dedup": repeats.op6_suffix_dedup,
         "op8_fingerprint": multiset_hash.op8_fingerprint,
         "op9_pack": packing.op9_pack,
         "op10_sstable_tokens": sstable.op10_sstable_tokens,
