@@ -164,13 +164,14 @@ def line_up(sized: DataFrame, plan: Plan) -> DataFrame:
 def taken_blocks(sized: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, key, begin, size, block_no, words, times: overlaps of documents with taken blocks."""
     spark = sized.sparkSession
+    # slots grow out of a tiny range, whose size the planner would take for theirs and broadcast
     times = draw_slots(spark, plan).groupBy("source_no", "block_no").agg(F.count("*").alias("times"))
     rows = line_up(sized.filter("size > 0"), plan).join(_sources(spark, plan).select("key", "source_no"), "key")
     end = F.col("begin") + F.col("size")
     last = F.floor((end - 1) / plan.block).cast("long")
     over = rows.select("*", F.explode(F.sequence(F.floor(F.col("begin") / plan.block).cast("long"), last)).alias("block_no"))
     words = F.least(end, (F.col("block_no") + 1) * plan.block) - F.greatest(F.col("begin"), F.col("block_no") * plan.block)
-    return over.withColumn("words", words).join(times, ["source_no", "block_no"])
+    return over.withColumn("words", words).join(times.hint("merge"), ["source_no", "block_no"])
 
 
 def mix_counts(docs: DataFrame, block: int = 64, seed: int = 20) -> DataFrame:
@@ -183,7 +184,7 @@ def mix_counts(docs: DataFrame, block: int = 64, seed: int = 20) -> DataFrame:
     sized = common.stored(count_words(docs), "sized")
     plan = make_plan(sized, block, seed)
     got = taken_blocks(sized, plan).groupBy("doc_id", "key", "size", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    placed = line_up(sized.filter("size > 0"), plan).join(got.select("key", "begin", "taken"), ["key", "begin"], "left")
+    placed = line_up(sized.filter("size > 0"), plan).join(got.select("key", "begin", "taken").hint("merge"), ["key", "begin"], "left")
     rows = placed.select("doc_id", "key", "size", F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(sized.filter("size = 0").select("doc_id", source_key().alias("key"), "size", F.lit(0).cast("long").alias("taken")))
     return rows.join(_sources(sized.sparkSession, plan), "key").select("doc_id", F.when(F.substring("key", 1, 1) == "0", F.expr("substring(key, 2)")).alias("source"), "size", "source_size", "target", "taken")
 
@@ -210,7 +211,7 @@ def mix_documents(docs: DataFrame, block: int = 64, seed: int = 20) -> DataFrame
 
     sized_rows = docs.mapInArrow(sizes, T.StructType([*schema.fields, T.StructField("fm_size", T.LongType())]))
     sized_rows = sized_rows.filter("fm_size > 0").withColumn("fm_key", source_key()).withColumn("fm_twin", F.row_number().over(Window.partitionBy("doc_id", "fm_key", "fm_size").orderBy("text")))
-    c = cuts.select(F.col("doc_id").alias("fm_id"), F.col("key").alias("fm_k"), F.col("size").alias("fm_s"), F.col("twin").alias("fm_t"), "begin", "cuts")
+    c = cuts.select(F.col("doc_id").alias("fm_id"), F.col("key").alias("fm_k"), F.col("size").alias("fm_s"), F.col("twin").alias("fm_t"), "begin", "cuts").hint("merge")
     joined = sized_rows.join(c, F.col("doc_id").eqNullSafe(F.col("fm_id")) & (F.col("fm_key") == F.col("fm_k")) & (F.col("fm_size") == F.col("fm_s")) & (F.col("fm_twin") == F.col("fm_t"))).select(*names, F.col("begin").alias("fm_begin"), F.col("cuts").alias("fm_cuts"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
