@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, multiset_hash, near_dedup, packing, repeats, secret_ledger, sstable
+from . import media, mixing, multiset_hash, near_dedup, packing, quality, repeats, secret_ledger, sstable, toxicity
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_secrets": secret_ledger.op2_secrets,
         "op3_minhash": near_dedup.op3_minhash,
         "op4_mix": mixing.op4_mix,
+        "op5_quality": quality.op5_quality,
         "op6_suffix_dedup": repeats.op6_suffix_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_fingerprint": multiset_hash.op8_fingerprint,
         "op9_pack": packing.op9_pack,
         "op10_sstable_tokens": sstable.op10_sstable_tokens,
