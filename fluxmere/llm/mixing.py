@@ -211,8 +211,8 @@ def mix_documents(docs: DataFrame, block: int = 64, seed: int = 20) -> DataFrame
 
     sized_rows = docs.mapInArrow(sizes, T.StructType([*schema.fields, T.StructField("fm_size", T.LongType())]))
     sized_rows = sized_rows.filter("fm_size > 0").withColumn("fm_key", source_key()).withColumn("fm_twin", F.row_number().over(Window.partitionBy("doc_id", "fm_key", "fm_size").orderBy("text")))
-    c = cuts.select(F.col("doc_id").alias("fm_id"), F.col("key").alias("fm_k"), F.col("size").alias("fm_s"), F.col("twin").alias("fm_t"), "begin", "cuts").hint("merge")
-    joined = sized_rows.join(c, F.col("doc_id").eqNullSafe(F.col("fm_id")) & (F.col("fm_key") == F.col("fm_k")) & (F.col("fm_size") == F.col("fm_s")) & (F.col("fm_twin") == F.col("fm_t"))).select(*names, F.col("begin").alias("fm_begin"), F.col("cuts").alias("fm_cuts"))
+    c = cuts.select(F.col("doc_id").alias("fm_id"), F.col("key").alias("fm_k"), F.col("size").alias("fm_s"), F.col("twin").alias("fm_t"), F.col("begin").alias("fm_begin"), F.col("cuts").alias("fm_cuts")).hint("merge")
+    joined = sized_rows.join(c, F.col("doc_id").eqNullSafe(F.col("fm_id")) & (F.col("fm_key") == F.col("fm_k")) & (F.col("fm_size") == F.col("fm_s")) & (F.col("fm_twin") == F.col("fm_t"))).select(*names, "fm_begin", "fm_cuts")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t_at, c_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
