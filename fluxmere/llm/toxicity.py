@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +46,11 @@ def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return place[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
-def _distinct(place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each text, and where they begin."""
+def _distinct(place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each text, how often each stands in it, and where a text's begin."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    both = np.unique(owner << BITS | place)
-    return both & (PLACES - 1), np.concatenate([[0], np.cumsum(np.bincount(both >> BITS, minlength=len(first) - 1))])
+    both, times = np.unique(owner << BITS | place, return_counts=True)
+    return both & (PLACES - 1), times, np.concatenate([[0], np.cumsum(np.bincount(both >> BITS, minlength=len(first) - 1))])
 
 
 def continuation_counts(docs: DataFrame) -> np.ndarray:
@@ -78,20 +79,22 @@ class Model:
         self.ratio, self.weights, self.scale = ratio.astype(np.float32), weights, scale
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return _curve(_features(self.ratio, *word_places(texts)) / self.scale, self.weights)
+        place, first = word_places(texts)
+        return _curve(_features(self.ratio, place, np.ones(len(place), np.float32), first) / self.scale, self.weights)
 
 
 def _ratio(counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
     logs = []
     for c in counts:
         logs.append(np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * np.count_nonzero(c) * shared) / max(1.0, c.sum())))
-    return logs[1] - logs[0]
+    return (logs[1] - logs[0]).astype(np.float32)
 
 
-def _features(ratio: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per text: evidence a word, and evidence by the root of the number of words."""
-    x = ratio[place]
-    total, n = sums(np.where(x > LEAST, np.minimum(x, MOST), 0.0), first), np.diff(first)
+def _features(ratio: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per text, given as words and how often each stands in it: evidence a word, and evidence
+    by the root of the number of words."""
+    x = ratio[words]
+    total, n = sums(np.where(x > LEAST, np.minimum(x, MOST), 0) * times, first), sums(times, first)
     return np.stack([total / np.maximum(n, 1), total / np.sqrt(n + 20.0)], 1)
 
 
@@ -99,13 +102,12 @@ def _curve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit(shared_counts: np.ndarray, place: np.ndarray, first: np.ndarray, label: np.ndarray, fold: np.ndarray) -> Model | None:
+def fit(shared_counts: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray, label: np.ndarray, fold: np.ndarray) -> Model | None:
     """None if a class has no rows. Two folds score each other to fit the curve."""
     if len(np.unique(label)) < 2:
         return None
     shared = (shared_counts + 0.1) / (shared_counts + 0.1).sum()
-    words, begin = _distinct(place, first)
-    owner = np.repeat(np.arange(len(label)), np.diff(begin))
+    owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(first))
 
     def counts(rows: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(words[(rows & (label == v))[owner]], minlength=PLACES).astype(np.float64) for v in (0, 1)])
@@ -114,7 +116,7 @@ def fit(shared_counts: np.ndarray, place: np.ndarray, first: np.ndarray, label:
     for f in (0, 1):
         rows = fold == f
         if rows.any():
-            x[rows] = _features(_ratio(counts(~rows), shared), place, first)[rows]
+            x[rows] = _features(_ratio(counts(~rows), shared), words, times, first)[rows]
     scale = np.maximum(x.std(0), 1e-6)
     z, w = np.concatenate([x / scale, np.ones((len(x), 1))], 1), np.zeros(3)
     for _ in range(50):
@@ -130,15 +132,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         for b in batches:
             texts = b.column(3).cast(pa.binary()).to_pylist()
             for i, j in common.chunks([len(t) for t in texts], 1_500_000):
-                place, first = word_places(texts[i:j])
-                words = [place[a:z].astype(np.int32).tobytes() for a, z in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(words, pa.binary())], ["doc_id", "label", "fold", "words"])
-
-    rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary").toArrow().sort_by("doc_id")
-    words = [np.frombuffer(x, np.int32) for x in rows.column("words").to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
-    place = np.concatenate([np.zeros(0, np.int32), *words]).astype(np.int64)
-    return fit(continuation_counts(docs), place, first, rows.column("label").to_numpy(), rows.column("fold").to_numpy())
+                words, times, first = _distinct(*word_places(texts[i:j]))
+                parts = [[x[a:z].astype(np.int32).tobytes() for a, z in zip(first[:-1], first[1:])] for x in (words, times)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "label", "fold", "words", "times"])
+
+    rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary, times binary").toArrow().sort_by("doc_id")
+    flat = [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int32) for c in ("words", "times")]
+    first = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("words")).to_numpy() // 4)]).astype(np.int64)
+    label, fold = rows.column("label").to_numpy(), rows.column("fold").to_numpy()
+    del rows
+    return fit(continuation_counts(docs), *flat, first, label, fold)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
