@@ -184,3 +184,29 @@ def lookup(puts: DataFrame, gets: DataFrame, key: str, value: str, order: Column
     w = Window.partitionBy(key).orderBy(EPOCH, "get").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
     return seen.filter((F.col("get") == 1) & F.col(value).isNotNull()).drop("get")
+
+
+def local_reduce(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """Fold within each partition only: a key may give several rows. ``aggregate`` over the
+    result finishes it; the planner does both by itself for built-in aggregates."""
+    return df.withColumn("part", F.spark_partition_id()).groupBy(EPOCH, "part", *keys).agg(*aggs)
+
+
+def broadcast_reduce(df: DataFrame, *aggs: Column) -> DataFrame:
+    """Every row with its epoch's aggregates: an all-reduce. One row per epoch is joined back."""
+    return df.join(df.groupBy(EPOCH).agg(*aggs), EPOCH)
+
+
+def report(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """(name, epoch, n, total, least, greatest, mean) of reported values."""
+    return df.groupBy(F.col(name).alias("name"), EPOCH).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"))
+
+
+def select_many_segments(df: DataFrame, segments: Column, name: str, *keep: str) -> DataFrame:
+    """Flat-map whose function gives a list of segments: all their elements, in one go."""
+    return select_many(df, F.flatten(segments), name, *keep)
+
+
+def cross(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Join by a constant key within each epoch. For small sides: every row meets every other."""
+    return a.join(b, EPOCH)

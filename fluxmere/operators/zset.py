@@ -121,6 +121,11 @@ class Collection:
         rows = self.df.groupBy(*self.record, EPOCH).agg(F.sum(WEIGHT).alias(WEIGHT)).filter(F.col(WEIGHT) != 0)
         return Collection(rows.select(*self.record, WEIGHT, EPOCH))
 
+    def compact(self, epoch: int) -> Collection:
+        """Changes up to ``epoch`` become one change at it: contents from there on stay the same,
+        earlier ones can't be asked for any more."""
+        return self.adjust_time(F.lit(epoch)).consolidate()
+
     def partition_by(self, *keys: str) -> Collection:
         return Collection(self.df.repartition(*keys))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..functions import text
 from ..operators import epochs as l1
 from ..operators import graph, iterate
 from ..operators.zset import Collection
@@ -266,6 +267,43 @@ def l0_lookup(spark, d):
     return l1.lookup(puts, of_type(spark, d, "view"), "user_id", "event_id", F.col("event_id")).select("epoch", "user_id", "event_id")
 
 
+@query(f"WITH {EV} SELECT epoch, user_id, COUNT(*) AS n FROM ev GROUP BY epoch, user_id")
+def l0_local_reduce(spark, d):
+    """Folded within partitions first, then across."""
+    local = l1.local_reduce(events(spark, d).repartition(4), ["user_id"], F.count("*").alias("n"))
+    return l1.aggregate(local, ["user_id"], F.sum("n").alias("n"))
+
+
+@query(f"WITH {EV} SELECT epoch, event_id, COUNT(*) OVER (PARTITION BY epoch) AS n, MAX(value) OVER (PARTITION BY epoch) AS top FROM ev")
+def l0_broadcast_reduce(spark, d):
+    return l1.broadcast_reduce(events(spark, d).select("event_id", "value", "epoch"), F.count("*").alias("n"), F.max("value").alias("top")).drop("value")
+
+
+@query(f"WITH {EV} SELECT event_type AS name, epoch, COUNT(value) AS n, ROUND(SUM(value), 4) AS total, MIN(value) AS least, MAX(value) AS greatest, ROUND(AVG(value), 6) AS mean FROM ev GROUP BY event_type, epoch")
+def l0_report(spark, d):
+    return l1.report(events(spark, d), "event_type", F.col("value")).withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT conv_id, turn, word, CAST(0 AS INTEGER) AS epoch FROM (SELECT conv_id, turn, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM conversations)")
+def l1_select_many_segments(spark, d):
+    """Lines are segments of words."""
+    segments = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    return l1.select_many_segments(l1.with_epoch(table(spark, d, "conversations")), segments, "word", "conv_id", "turn")
+
+
+@query("SELECT r_regionkey, n_nationkey, CAST(0 AS INTEGER) AS epoch FROM region, nation")
+def l1_cross(spark, d):
+    a, b = (l1.with_epoch(table(spark, d, t)).select(k, "epoch") for t, k in (("region", "r_regionkey"), ("nation", "n_nationkey")))
+    return l1.cross(a, b)
+
+
+@query(f"WITH {EV} SELECT user_id, event_type, n_name, epoch FROM ev JOIN nation ON n_nationkey = user_id")
+def l1_table_join(spark, d):
+    """A table that holds for every epoch."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("user_id"), "n_name")
+    return l1.node_table_join(events(spark, d), nations, ["user_id"]).select("user_id", "event_type", "n_name", "epoch")
+
+
 # --- collections ---------------------------------------------------------------------------------
 
 
@@ -438,6 +476,17 @@ def z_at(spark, d):
     return changes(spark, d).at(7)
 
 
+@query(f"WITH {CH} SELECT user_id, event_type, CAST(SUM(weight) AS BIGINT) AS weight, GREATEST(epoch, 20) AS epoch FROM ch GROUP BY user_id, event_type, GREATEST(epoch, 20) HAVING SUM(weight) <> 0")
+def z_compact(spark, d):
+    return changes(spark, d).compact(20).df
+
+
+@query(f"WITH {CH} SELECT user_id, event_type, CAST(weight AS BIGINT) AS weight, epoch FROM ch")
+def z_monitor(spark, d):
+    """Passes the changes through while they are counted."""
+    return changes(spark, d).monitor().df
+
+
 @query(f"""WITH {EV}, seen AS (SELECT user_id, MIN(epoch) AS epoch FROM ev GROUP BY user_id)
 SELECT user_id AS node, CAST(1 AS BIGINT) AS weight, epoch FROM seen
 UNION ALL SELECT -1 - k AS node, CAST(1 AS BIGINT), MIN(epoch) FROM (SELECT unnest(range(user_id // 32 + 1)) AS k, epoch FROM seen) GROUP BY 1""")
@@ -562,6 +611,29 @@ def g_rename_edges(spark, d):
     return graph.rename_edges(graph.rename_edges(e, m), back)
 
 
+@query("SELECT 'n' || n_nationkey AS name, n_name AS value FROM nation")
+def g_rename_nodes(spark, d):
+    """Names to nodes and back."""
+    v = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("value"))
+    m = graph.AutoRenamer().add(v, "name").finish()
+    return graph.rename_nodes(v, m).join(m, "node").select("name", "value")
+
+
+@query("SELECT event_id AS node, value FROM events WHERE value > 100")
+def g_filter_options(spark, d):
+    v = table(spark, d, "events").select(F.col("event_id").alias("node"), F.when(F.col("value") > 100, F.col("value")).alias("value"))
+    return graph.filter_options(v)
+
+
+@query("SELECT user_id AS node, CAST(MAX(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) + 10 * MAX(CASE WHEN user_id < 5 THEN 1 ELSE 0 END) AS BIGINT) AS value FROM events GROUP BY user_id")
+def g_state_machine_initial(spark, d):
+    """A flag that purchases set, on states that some nodes begin with."""
+    e = table(spark, d, "events")
+    v = e.select(F.col("user_id").alias("node"), "event_id", (F.col("event_type") == "purchase").cast("long").alias("value"))
+    start = e.filter("user_id < 5").select(F.col("user_id").alias("node")).distinct().withColumn("value", F.lit(10).cast("long"))
+    return graph.state_machine(v, "event_id", F.lit(0).cast("long"), lambda x, s: F.when((x == 1) & (s % 10 == 0), s + 1).otherwise(s), start)
+
+
 @query("SELECT user_id AS node, CAST(SUM(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) FILTER (WHERE event_id > COALESCE(last_error, -1)) AS BIGINT) AS value FROM (SELECT *, MAX(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS last_error FROM events) GROUP BY user_id HAVING value IS NOT NULL UNION ALL SELECT user_id, 0 FROM (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id) WHERE t = 'error'")
 def g_state_machine(spark, d):
     """Events since the last error: a counter that errors reset."""
@@ -616,6 +688,12 @@ def search_index(spark, d):
     return algorithms.search(docs, asked)
 
 
+@query("SELECT key, COUNT(*) AS n FROM (SELECT CASE WHEN label < 10 THEN 65536 * label ELSE 65536 * (10 + CAST(round_even(ln(1 + label), 0) AS BIGINT)) END AS key FROM (SELECT p_partkey AS label FROM part)) GROUP BY key")
+def label_priorities(spark, d):
+    """The order in which labels enter a prioritised fixed point."""
+    return table(spark, d, "part").select(text.log1p_bucket(F.col("p_partkey")).cast("long").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {FAMILY} SELECT node, label FROM fam")
 def connected_components(spark, d):
     return algorithms.connected_components(number_family(spark, d))
@@ -766,3 +844,17 @@ def s_changes(spark, d):
     base = f"{storage.shared_dir(spark)}/changes-{uuid.uuid4().hex[:10]}"
     streams.changes_of(streams.streaming_count(_stream(spark, d), "event_type"), ["event_type"], "count", f"{base}/out", f"{base}/check")
     return Collection(spark.read.parquet(f"{base}/out").select("event_type", "count", "weight", "epoch")).at()
+
+
+@query("SELECT a.user_id, a.event_id AS error_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND date_trunc('day', a.ts) = date_trunc('day', b.ts) WHERE a.event_type = 'error' AND b.event_type = 'purchase'")
+def s_join(spark, d):
+    """Two streams, joined by user and day."""
+    pick = lambda kind, name: _stream(spark, d).filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
+    j = streams.join_within(pick("error", "error_id"), pick("purchase", "purchase_id"), ["user_id"], "ts", "10 minutes", "1 day")
+    return _collected(j.select("user_id", "error_id", "purchase_id"), "append")
+
+
+@query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00'")
+def s_late_rows(spark, d):
+    """What an input that holds the tenth day would drop."""
+    return _collected(streams.late_rows(_stream(spark, d), "ts", F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")).select("event_id"), "append")

@@ -47,6 +47,17 @@ def to_table(df: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
     return q
 
 
+def join_within(a: DataFrame, b: DataFrame, keys: list[str], column: str, delay: str, length: str) -> DataFrame:
+    """Stream-stream join of rows that share ``keys`` and a tumbling window: state is dropped once
+    the watermark has passed the window. ``b``'s other columns must not clash with ``a``'s."""
+    w = lambda df: event_time(df, column, delay).withColumn("window", F.window(column, length))
+    right = w(b).select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("window").alias("r_window"), *[c for c in b.columns if c not in (*keys, column)])
+    same = F.col("window") == F.col("r_window")
+    for k in keys:
+        same &= F.col(k) == F.col(f"r_{k}")
+    return w(a).join(right, same).drop("r_window", *[f"r_{k}" for k in keys])
+
+
 def for_each_epoch(df: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """``action(rows, epoch)`` per micro-batch; with the checkpoint and an idempotent action each
     epoch takes effect once."""
