@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +63,10 @@ def chunks(sizes, limit: int):
         yield start, len(sizes)
 
 
-def words_count():
-    """Column: number of ``[^\\x20\\x09-\\x0D]+`` words of ``text`` (null: 0), without building them."""
-    spaced = F.concat(F.lit(" "), F.translate(F.coalesce(F.col("text"), F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    # a word starts wherever a blank is followed by something else
-    return (F.length(F.regexp_replace(F.concat(spaced, F.lit(" ")), " +", " ")) - F.length(F.translate(spaced, " ", "")) - 1).cast("long")
+def byte_chunks(column, limit: int):
+    """(start, end, texts as bytes) of a string column, about ``limit`` bytes at a time; nulls are
+    empty. Only one chunk at a time is made into Python objects."""
+    column = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, j in chunks(sizes, limit):
+        yield i, j, [t or b"" for t in column.slice(i, j - i).to_pylist()]

@@ -565,9 +565,8 @@ def text_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i, j in common.chunks([len(t) for t in texts], 1_000_000):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(t) for t in texts[i:j]], pa.int64()), pa.array(encode_payloads([pad(t) for t in texts[i:j]]), pa.binary())], ["doc_id", "n_bytes", "media"])
+            for i, j, texts in common.byte_chunks(b.column(1), 1_000_000):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode_payloads([pad(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return common.id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -582,13 +581,13 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_bytes, files = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i, j in common.chunks([len(f) for f in files], 600_000):
-                images = [parse(f) for f in files[i:j]]
+            n_bytes = b.column(1).to_pylist()
+            for i, j, files in common.byte_chunks(b.column(2), 600_000):
+                images = [parse(f) for f in files]
                 coef, first = decode_coefficients(images)
                 tensors = to_rgb(images, coef, first)
                 rows = []
-                for image, a, z, rgb, n, f in zip(images, first[:-1], first[1:], tensors, n_bytes[i:j], files[i:j]):
+                for image, a, z, rgb, n, f in zip(images, first[:-1], first[1:], tensors, n_bytes[i:j], files):
                     size = -(-n // UNIT) * UNIT or UNIT
                     payload = payload_of(image, coef[a:z], size)
                     means = rgb.reshape(-1, 3).sum(0, dtype=np.int64) * 1000 // (rgb.shape[0] * rgb.shape[1])

@@ -113,9 +113,8 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i, j in common.chunks([len(t) for t in texts], 1_500_000):
-                flat, n = shingle_sets(texts[i:j])
+            for i, j, texts in common.byte_chunks(b.column(1), 1_000_000):
+                flat, n = shingle_sets(texts)
                 keys = bands_of(flat, n)
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
@@ -163,10 +162,9 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int = P
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            all_texts = batch.column(4).cast(pa.binary()).to_pylist()
-            for i, j in common.chunks([len(t) for t in all_texts], 1_500_000):
+            for i, j, texts in common.byte_chunks(batch.column(4), 1_000_000):
                 a, salt, role, node = (batch.column(c).slice(i, j - i).to_pylist() for c in range(4))
-                flat, n = shingle_sets(all_texts[i:j])
+                flat, n = shingle_sets(texts)
                 sets, names, out = np.split(flat, np.cumsum(n)[:-1]), set_names(flat, n), []
                 for k in range(j - i):
                     if names[k] != node[k]:

@@ -58,9 +58,8 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(PLACES * WIDTH, np.int64)
         for b in batches:
-            texts = b.column(0).cast(pa.binary()).to_pylist()
-            for i, j in common.chunks([len(t) for t in texts], 1_500_000):
-                place, first, _ = word_places(texts[i:j])
+            for _, _, texts in common.byte_chunks(b.column(0), 1_000_000):
+                place, first, _ = word_places(texts)
                 inner = np.ones(len(place), bool)
                 inner[first[:-1][first[:-1] < len(place)]] = False
                 right = np.flatnonzero(inner)
@@ -160,9 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(3).cast(pa.binary()).to_pylist()
-            for i, j in common.chunks([len(t) for t in texts], 500_000):
-                x = pool(shared.value, *word_places(texts[i:j]))
+            for i, j, texts in common.byte_chunks(b.column(3), 500_000):
+                x = pool(shared.value, *word_places(texts))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     rows = labelled_sample(docs, labels, "quality", sample).mapInArrow(pooled, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
@@ -187,9 +185,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(1).cast(pa.binary()).to_pylist()
-                for i, j in common.chunks([len(t) for t in texts], 1_000_000):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(shared.value.score(texts[i:j]))], ["doc_id", "score"])
+                for i, j, texts in common.byte_chunks(b.column(1), 1_000_000):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(shared.value.score(texts))], ["doc_id", "score"])
 
         scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

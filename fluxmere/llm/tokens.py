@@ -27,7 +27,7 @@ def default_path() -> str:
 class WordCodec:
     """Ids of texts by ``tokenizers``, ``add_special_tokens=False``, as flat arrays."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 

@@ -60,9 +60,8 @@ def continuation_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(PLACES, np.int64)
         for b in batches:
-            texts = b.column(0).cast(pa.binary()).to_pylist()
-            for i, j in common.chunks([len(t) for t in texts], 1_500_000):
-                n += np.bincount(_distinct(*word_places(texts[i:j]))[0], minlength=PLACES)
+            for _, _, texts in common.byte_chunks(b.column(0), 1_000_000):
+                n += np.bincount(_distinct(*word_places(texts))[0], minlength=PLACES)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["place", "n"])
 
@@ -130,9 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(3).cast(pa.binary()).to_pylist()
-            for i, j in common.chunks([len(t) for t in texts], 1_500_000):
-                words, times, first = _distinct(*word_places(texts[i:j]))
+            for i, j, texts in common.byte_chunks(b.column(3), 1_000_000):
+                words, times, first = _distinct(*word_places(texts))
                 parts = [[x[a:z].astype(np.int32).tobytes() for a, z in zip(first[:-1], first[1:])] for x in (words, times)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "label", "fold", "words", "times"])
 
@@ -154,9 +152,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for b in batches:
-            texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
-            for i, j in common.chunks([len(t) for t in texts], 1_500_000):
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(shared.value.score(texts[i:j]))], [*names, "score"])
+            for i, j, texts in common.byte_chunks(b.column(at), 1_000_000):
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(shared.value.score(texts))], [*names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
