@@ -98,6 +98,41 @@ def work(spark: SparkSession, splits: list[tuple], schema: str, worker: Callable
     return spark.createDataFrame(splits, schema).repartition(max(1, len(splits))).mapInPandas(worker, out)
 
 
+class StreamingInput:
+    """Batches for explicit epochs in any order, with a low watermark that only rises.
+
+    ``on_notify(e)`` says that nothing at or below e comes any more; rows for such epochs are
+    dropped and counted in ``late``, a watermark that doesn't rise is ignored."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.low, self.late, self.done = spark, schema, 0, 0, False
+        self.batches: list[tuple[int, list[tuple]]] = []
+
+    def on_recv(self, rows: Iterable[tuple], epoch: int) -> None:
+        rows = list(rows)
+        if self.done or epoch < self.low:
+            self.late += len(rows)
+        else:
+            self.batches.append((epoch, rows))
+
+    def on_notify(self, epoch: int) -> None:
+        self.low = max(self.low, epoch + 1)
+
+    def on_completed(self) -> None:
+        self.done = True
+
+    def frame(self) -> DataFrame:
+        out = self.spark.createDataFrame([], f"{self.schema}, {EPOCH} int")
+        for e, rows in self.batches:
+            out = out.unionByName(self.spark.createDataFrame(rows, self.schema).withColumn(EPOCH, F.lit(e)))
+        return out
+
+    def closed(self) -> DataFrame:
+        """Rows of epochs that the watermark has passed: those whose output is final."""
+        df = self.frame()
+        return df if self.done else df.filter(F.col(EPOCH) < self.low)
+
+
 # --- sinks -------------------------------------------------------------------------------------
 
 
@@ -132,6 +167,20 @@ def subscribe_partitions(df: DataFrame, action: Callable[[Iterator], None]) -> N
     df.foreachPartition(action)
 
 
+def subscribe_by_partition(df: DataFrame, action: Callable[[int, int, list], None]) -> None:
+    """``action(partition, epoch, rows)`` on the executors, epochs in order within a partition."""
+
+    def run(rows: Iterator) -> None:
+        from itertools import groupby
+
+        from pyspark import TaskContext
+
+        for e, own in groupby(rows, key=lambda r: r[EPOCH]):
+            action(TaskContext.get().partitionId(), e, list(own))
+
+    df.sortWithinPartitions(EPOCH).foreachPartition(run)
+
+
 class Shared:
     """A table that one query hands to others: written once when sealed, read by any number."""
 

@@ -17,6 +17,43 @@ def file_epochs(spark: SparkSession, path: str, schema, fmt: str = "parquet", pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_epoch).format(fmt).load(path)
 
 
+def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines typed into a socket, for interactive use: nothing is replayed after a failure."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def synced(query: StreamingQuery) -> None:
+    """Wait until all that has arrived is processed and out."""
+    query.processAllAvailable()
+
+
+class Frontier:
+    """Calls ``action(epoch, rows, watermark)`` after every epoch of any query of the session."""
+
+    def __init__(self, spark: SparkSession, action: Callable[[int, int, str | None], None]):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):  # noqa: N802
+                pass
+
+            def onQueryProgress(self, event):  # noqa: N802
+                p = event.progress
+                action(p.batchId, p.numInputRows, p.eventTime.get("watermark"))
+
+            def onQueryIdle(self, event):  # noqa: N802
+                pass
+
+            def onQueryTerminated(self, event):  # noqa: N802
+                pass
+
+        self.spark, self.listener = spark, Listener()
+        spark.streams.addListener(self.listener)
+
+    def close(self) -> None:
+        self.spark.streams.removeListener(self.listener)
+
+
 def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
     """Rows later than the watermark are dropped by what follows; a column without time zone is
     taken as session time."""

@@ -208,3 +208,61 @@ def test_plans_prune_and_push_down(spark, sf):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,40.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_streaming_input_drops_late_rows(spark):
+    i = io.StreamingInput(spark, "x string")
+    i.on_recv([("a",)], 2)
+    i.on_recv([("b",)], 0)
+    i.on_notify(1)
+    i.on_notify(0)
+    i.on_recv([("late",), ("late",)], 1)
+    assert i.late == 2 and rows(i.frame()) == [("a", 2), ("b", 0)] and rows(i.closed()) == [("b", 0)]
+    i.on_completed()
+    assert i.closed().count() == 2
+
+
+def test_partition_subscription(spark, tmp_path):
+    df = frame(spark, [("a", 1), ("b", 0), ("c", 0)]).repartition(2, "x")
+    out = str(tmp_path)
+
+    def write(part, epoch, own):
+        with open(f"{out}/{part}-{epoch}", "a") as f:
+            f.write("".join(r.x for r in own))
+
+    io.subscribe_by_partition(df, write)
+    assert sorted("".join(sorted(p.read_text())) + p.name[-1] for p in tmp_path.iterdir()) in (["a1", "b0", "c0"], ["a1", "bc0"])
+
+
+def test_frontier_is_reported(spark, tmp_path):
+    import time
+
+    pd.DataFrame({"w": ["a", "b"]}).to_parquet(tmp_path / "0.parquet")
+    seen = []
+    f = streams.Frontier(spark, lambda epoch, n, low: seen.append((epoch, n)))
+    streams.to_table(streams.file_epochs(spark, str(tmp_path), "w string"), "frontier_test")
+    for _ in range(50):
+        if seen:
+            break
+        time.sleep(0.1)
+    f.close()
+    assert (0, 2) in seen
+
+
+def test_text_helpers(spark):
+    from fluxmere.functions import text
+
+    df = spark.createDataFrame([("a  b/c", "7", 2.5, 20)], "t string, n string, x double, l int")
+    r = df.select(text.split_blank("t"), text.split_space("t"), text.is_comment(F.col("t")), text.parse_int(F.col("n")), text.round_half_even(F.col("x")), text.after_last("t", "/"), text.log1p_bucket(F.col("l"))).first()
+    assert tuple(r) == (["a", "", "b/c"], ["a", "", "b/c"], False, 7, 2, "c", 65536 * 13)
+
+
+def test_shared_table_is_read_by_many(spark):
+    s = io.Shared(frame(spark, [("a", 0)]))
+    assert s.read().count() == s.read().count() == 1
+
+
+def test_all_reduce_and_report(spark):
+    df = frame(spark, [("a", 1, 0), ("a", 3, 0), ("b", 5, 1)], "k string, v int, epoch int")
+    assert rows(l1.broadcast_reduce(df, F.sum("v").alias("s")).select("epoch", "v", "s")) == [(0, 1, 4), (0, 3, 4), (1, 5, 5)]
+    assert rows(l1.report(df, "k", F.col("v"))) == [("a", 0, 2, 4, 1, 3, 2.0), ("b", 1, 1, 5, 5, 5, 5.0)]
