@@ -663,6 +663,23 @@ def i_iterate_and_accumulate(spark, d):
     return iterate.iterate_and_accumulate(l1.with_epoch(part_values(spark, d)), step, 3)
 
 
+@query("SELECT p_partkey AS node, CAST(p_size AS BIGINT) AS value, CAST(p_size // 20 AS INTEGER) AS iteration FROM part WHERE p_size < 60")
+def i_enter_loop(spark, d):
+    """Rows enter at the iteration that they name."""
+    enter = iterate.entering(part_values(spark, d), F.floor(F.col("value") / 20))
+    return l1.concat(*[enter(i).withColumn("iteration", F.lit(i)) for i in range(3)])
+
+
+@query("SELECT p_partkey AS node, CAST(p_size AS BIGINT) + k AS value FROM part, range(2, 4) t(k)")
+def i_leave_loop(spark, d):
+    """Only the results of iterations 1 and 2 leave."""
+    results, x = [], part_values(spark, d)
+    for _ in range(3):
+        x = x.withColumn("value", F.col("value") + 1)
+        results.append(x)
+    return iterate.leaving(results, 1)
+
+
 # --- shipped queries -----------------------------------------------------------------------------
 
 
@@ -787,6 +804,16 @@ def io_text_lines(spark, d):
     return io.read_lines(spark, path).agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
+@query("SELECT COUNT(*) AS lines, COUNT(DISTINCT text) AS texts, CAST(7 AS BIGINT) AS parts FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM conversations)")
+def io_repartition(spark, d):
+    """Text lines written in a given number of parts and read back."""
+    path = f"{storage.shared_dir(spark)}/io-{uuid.uuid4().hex[:10]}"
+    lines = table(spark, d, "conversations").select(F.explode(F.split("text", "\n")).alias("line"))
+    lines.repartition(7).write.text(path)
+    back = spark.read.text(path)
+    return back.agg(F.count("*").alias("lines"), F.count_distinct("value").alias("texts"), F.count_distinct(F.input_file_name()).alias("parts"))
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
