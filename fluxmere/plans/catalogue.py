@@ -810,8 +810,8 @@ def io_repartition(spark, d):
     path = f"{storage.shared_dir(spark)}/io-{uuid.uuid4().hex[:10]}"
     lines = table(spark, d, "conversations").select(F.explode(F.split("text", "\n")).alias("line"))
     lines.repartition(7).write.text(path)
-    back = spark.read.text(path)
-    return back.agg(F.count("*").alias("lines"), F.count_distinct("value").alias("texts"), F.count_distinct(F.input_file_name()).alias("parts"))
+    back = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    return back.agg(F.count("*").alias("lines"), F.count_distinct("value").alias("texts"), F.count_distinct("file").alias("parts"))
 
 
 # --- streams -------------------------------------------------------------------------------------
