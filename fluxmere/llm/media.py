@@ -537,6 +537,18 @@ def pad(text: bytes) -> bytes:
     return text + b"\xff" * ((-len(text) % UNIT) or (0 if text else UNIT))
 
 
+_BROKEN = (ValueError, TypeError, IndexError, KeyError, AttributeError, struct.error)
+
+
+def _tensors(files: list[bytes]) -> list[np.ndarray | None]:
+    """RGB tensors, all files together; if one breaks that, each by itself, None for bad ones."""
+    try:
+        images = [parse(f) for f in files]
+        return to_rgb(images, *decode_coefficients(images))
+    except _BROKEN:
+        return [None] if len(files) == 1 else [_tensors([f])[0] for f in files]
+
+
 def decode_images(df: DataFrame, column: str = "media", key: str = "doc_id", batch_bytes: int = 600_000) -> DataFrame:
     """key, height, width, rgb (height * width * 3 bytes, row by row) of a column of progressive files.
 
@@ -544,18 +556,10 @@ def decode_images(df: DataFrame, column: str = "media", key: str = "doc_id", bat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            media = b.column(1).to_pylist()
-            for i, j in common.chunks([len(m or b"") for m in media], batch_bytes):
-                good = []
-                for k in range(i, j):
-                    try:
-                        image = parse(media[k])
-                        good.append((k, to_rgb([image], *decode_coefficients([image]))[0]))
-                    except (ValueError, TypeError, IndexError, KeyError, AttributeError, struct.error):
-                        continue
-                got = dict(good)
-                rows = [got.get(k) for k in range(i, j)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([None if r is None else r.shape[0] for r in rows], pa.int32()), pa.array([None if r is None else r.shape[1] for r in rows], pa.int32()), pa.array([None if r is None else r.tobytes() for r in rows], pa.binary())], [key, "height", "width", "rgb"])
+            for i, j, files in common.byte_chunks(b.column(1), batch_bytes):
+                rows = _tensors(files)
+                shape = [[None if r is None else r.shape[k] for r in rows] for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(x, pa.int32()) for x in shape), pa.array([None if r is None else r.tobytes() for r in rows], pa.binary())], [key, "height", "width", "rgb"])
 
     return df.select(key, F.col(column).cast("binary")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, height int, width int, rgb binary")
 
