@@ -113,25 +113,43 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def draw_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> np.ndarray:
+    """Slots of each source in one shard. Shards are halved until one is left; what falls to the
+    first half is a draw without replacement, keyed by the split, so that every shard comes to
+    the same draws on its way by itself."""
+    lo, hi, total = 0, shards, int(slots.sum())
+    first, n = 0, total
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = total * mid // shards - first
+        rng = np.random.default_rng([seed, lo, hi])
+        if n < 10**9:
+            part = rng.multivariate_hypergeometric(slots, left, method="marginals")
+        else:  # beyond the generator's range the draw's spread is far below one in ten thousand
+            part = np.diff(np.floor(np.cumsum(slots) * (left / n) + rng.random()).astype(np.int64), prepend=0)
+            part = np.clip(part, 0, slots)
+        if shard < mid:
+            hi, n, slots = mid, int(part.sum()), part
+        else:
+            lo, first, n, slots = mid, first + left, n - int(part.sum()), slots - part
+    return slots
+
+
 def draw_slots(spark: SparkSession, plan: Plan) -> DataFrame:
-    """shard, source_no, block_no: a row per slot. Slots past ``MAX_REPEAT`` passes stay empty."""
-    expected = plan.expected
-    total = int(round(expected.sum()))
+    """shard, source_no, block_no: a row per slot. A source has at most ``MAX_REPEAT`` passes."""
+    slots = np.rint(plan.expected).astype(np.int64)
+    total = int(slots.sum())
     if not total:
         return spark.createDataFrame([], "shard long, source_no int, block_no long")
     shards = min(MAX_SHARDS, max(1, total // 8192))
-    p, seed, blocks = expected / expected.sum(), plan.seed, np.array(plan.blocks, dtype=np.int64)
+    seed, blocks = plan.seed, np.array(plan.blocks, dtype=np.int64)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for j in b.column(0).to_pylist():
-                slots = total * (j + 1) // shards - total * j // shards
-                whole = np.floor(p * slots).astype(np.int64)
-                left, part = slots - int(whole.sum()), p * slots - whole
-                if left:
-                    whole = whole + np.random.default_rng([seed, j]).multinomial(left, part / part.sum())
-                at = np.flatnonzero(whole)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), j)), pa.array(at.astype(np.int32)), pa.array(whole[at])], ["shard", "source_no", "n"])
+                own = draw_counts(slots, shards, j, seed)
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), j)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["shard", "source_no", "n"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -267,6 +267,15 @@ def test_permutation_is_a_bijection():
     assert mixing.permute(np.arange(1000), 1000, 1).tolist() != mixing.permute(np.arange(1000), 1000, 2).tolist()
 
 
+def test_shards_meet_every_source_together():
+    slots = np.array([5, 0, 70_000, 1, 3])
+    for shards in (1, 2, 7, 64):
+        counts = np.array([mixing.draw_counts(slots, shards, j, 3) for j in range(shards)])
+        assert (counts >= 0).all() and (counts.sum(0) == slots).all()
+        total = int(slots.sum())
+        assert counts.sum(1).tolist() == [total * (j + 1) // shards - total * j // shards for j in range(shards)]
+
+
 def test_mix(awkward):
     got = mixing.mix_counts(awkward, block=4).collect()
     want = [(i, s, len(re.findall(BLANKS, t or ""))) for i, t, s in awkward.select("doc_id", "text", "source").collect()]
