@@ -50,6 +50,18 @@ class WordCodec:
     def reset(self) -> None:
         self.code: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(0, self.kind), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.hits = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the words that came most often, at most half of the limit: words seen once go."""
+        least = max(2, int(np.partition(self.hits, len(self.hits) - self.limit // 2)[len(self.hits) - self.limit // 2]) + 1)
+        kept = np.flatnonzero(self.hits >= least)
+        words = np.array(list(self.code), dtype=object)[kept].tolist()  # codes are in order of insertion
+        size = self.size[kept]
+        end = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.start[kept] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+        self.flat, self.start, self.size, self.hits = self.flat[at], (end - size).astype(np.int32), size, np.ones(len(kept), np.int32)
+        self.code = dict(zip(words, range(len(words))))
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_each`` for words of letters: each ends at its one id with the end-of-word suffix."""
@@ -83,20 +95,33 @@ class WordCodec:
     def _learn(self, words: list[str]) -> None:
         cores: dict[str, int] = {}
         near, tail, rest, order = [], [], [], []
+        # plain ASCII words, at most one stop or comma after their letters, in bulk
+        w = pa.array(words, pa.string())
+        ends = pc.or_(pc.ends_with(w, "."), pc.ends_with(w, ","))
+        core = pc.if_else(ends, pc.utf8_slice_codeunits(w, 0, -1), w)
+        easy = np.asarray(pc.and_(pc.string_is_ascii(w), pc.ascii_is_alpha(core)))
+        at = np.flatnonzero(easy)
+        low = pc.ascii_lower(core.take(pa.array(at))).dictionary_encode()
+        cores.update((x, i) for i, x in enumerate(low.dictionary.to_pylist()))
+        stop, comma = (np.asarray(pc.ends_with(w, c))[at] for c in ".,")
+        marks = np.select([stop, comma], [self.tails["."], self.tails[","]], -1)
+        order += [words[i] for i in at.tolist()]
         tails, put = self.tails, cores.setdefault
-        for w in words:
+        for i in np.flatnonzero(~easy).tolist():
+            x = words[i]
             # a letter before the last stop or comma: both are encoded apart
-            t = tails.get(w[-1:], -1)
-            s = (w if t < 0 else w[:-1]).lower()
+            t = tails.get(x[-1:], -1)
+            s = (x if t < 0 else x[:-1]).lower()
             # lower() may change the number of letters; such words go the long way
-            if s.isalpha() and (s.isascii() or (len(s) == len(w) - (t >= 0) and "ς" not in s and "σ" not in s and unicodedata.is_normalized("NFC", s))):
+            if s.isalpha() and len(s) == len(x) - (t >= 0) and "ς" not in s and "σ" not in s and unicodedata.is_normalized("NFC", s):
                 near.append(put(s, len(cores)))
                 tail.append(t)
-                order.append(w)
+                order.append(x)
             else:
-                rest.append(w)
+                rest.append(x)
         flat, sizes = self._letters(list(cores))
-        near, tail = np.array(near, np.int64), np.array(tail, np.int64)
+        near = np.concatenate([np.asarray(low.indices).astype(np.int64), np.array(near, np.int64)])
+        tail = np.concatenate([marks.astype(np.int64), np.array(tail, np.int64)])
         first, own = (np.cumsum(sizes) - sizes)[near], sizes[near]
         size = own + (tail >= 0)
         end = np.cumsum(size)
@@ -107,6 +132,7 @@ class WordCodec:
         size = np.concatenate([size, odd_size])
         self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(size), np.int32)])
         self.flat = np.concatenate([self.flat, ids, odd])
         base = len(self.code)
         self.code.update(zip(order + rest, range(base, base + len(words))))
@@ -119,10 +145,11 @@ class WordCodec:
         n_words = np.asarray(pc.list_value_length(parts)).astype(np.int64)
         seen = words.dictionary.to_pylist()
         if len(self.code) > self.limit:
-            self.reset()
+            self._forget()
         if new := [w for w in seen if w not in self.code]:
             self._learn(new)
         code = np.fromiter(map(self.code.__getitem__, seen), np.int32, len(seen))
+        self.hits[code] += 1
         # 32 bits hold any place: a batch of texts and the cache are each far below 2 GB
         at = code[np.asarray(words.indices)]
         size = self.size[at]
