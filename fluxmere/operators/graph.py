@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +118,35 @@ def state_machine(values: DataFrame, order: str, default: Column, transition: Ca
     return lists.select("node", F.aggregate("vs", start, lambda s, x: transition(x["v"], s)).alias("value"))
 
 
+def state_machine_stream(values: DataFrame, order: str, default, transition: Callable, changes: bool = False, value_type: str = "long") -> DataFrame:
+    """(node, order, value): as ``state_machine``, with a plain Python ``transition(value, state)``.
+
+    Rows stream by sorted by node and order, and only one state is held, so a node's history
+    has no bound. Gives each node's last state, or with ``changes`` every state that differs
+    from the one before it."""
+    kind = values.schema[order].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, at, state, begun = None, None, default, False
+        for b in batches:
+            out = []
+            for n, o, v in zip(b["node"].tolist(), b["o"].tolist(), b["v"].tolist()):
+                if not begun or n != node:
+                    if begun and not changes:
+                        out.append((node, at, state))
+                    node, state, begun = n, default, True
+                new = transition(v, state)
+                if changes and new != state:
+                    out.append((n, o, new))
+                at, state = o, new
+            yield pd.DataFrame(out, columns=["node", order, "value"])
+        if begun and not changes:
+            yield pd.DataFrame([(node, at, state)], columns=["node", order, "value"])
+
+    rows = values.select("node", F.col(order).alias("o"), F.col("value").alias("v")).repartition("node").sortWithinPartitions("node", "o")
+    return rows.mapInPandas(run, f"node {values.schema['node'].dataType.simpleString()}, {order} {kind}, value {value_type}")
+
+
 def state_changes(values: DataFrame, order: str, default: Column, transition: Callable[[Column, Column], Column]) -> DataFrame:
     """(node, order, value): each state that differs from the one before it."""
     lists = values.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("value").alias("v")))).alias("vs"))

@@ -641,6 +641,13 @@ def g_state_machine(spark, d):
     return graph.state_machine(v, "event_id", F.lit(0).cast("long"), lambda x, s: F.when(x == "error", F.lit(0).cast("long")).otherwise(s + 1))
 
 
+@query("SELECT user_id AS node, MAX(event_id) AS event_id, CAST(COUNT(*) FILTER (WHERE event_id > COALESCE(last_error, -1)) AS BIGINT) AS value FROM (SELECT *, MAX(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS last_error FROM events) GROUP BY user_id")
+def g_state_machine_stream(spark, d):
+    """The same counter with one state in memory, however long a node's history."""
+    v = table(spark, d, "events").select(F.col("user_id").alias("node"), "event_id", F.col("event_type").alias("value"))
+    return graph.state_machine_stream(v, "event_id", 0, lambda x, s: 0 if x == "error" else s + 1)
+
+
 @query("SELECT user_id AS node, event_id, event_type AS value FROM (SELECT *, LAG(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
 def g_state_changes(spark, d):
     """The kind of a user's latest event, whenever it changes."""

@@ -146,6 +146,24 @@ def test_state_machines(spark):
     assert rows(graph.state_machine(v, "o", F.lit(False), either, init)) == [(1, True), (2, True)]
 
 
+def test_state_machine_streams_past_batches(spark):
+    data = [(n, o, (o * 7 + n) % 5) for n in (1, 2) for o in range(500)]
+    v = spark.createDataFrame(data, "node long, o long, value long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    try:
+        last = rows(graph.state_machine_stream(v, "o", 0, lambda x, s: s + x))
+        steps = graph.state_machine_stream(v, "o", 0, lambda x, s: max(s, x), changes=True).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert last == [(n, 499, sum(x for m, _, x in data if m == n)) for n in (1, 2)]
+    want = 0
+    for n in (1, 2):
+        best = 0
+        for _, _, x in (r for r in data if r[0] == n):
+            want, best = want + (x > best), max(x, best)
+    assert steps == want
+
+
 def test_trim_and_flip(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4)], "source long, target long")
     assert rows(algorithms.trim_leaves(e).select("source", "target")) == [(1, 2), (2, 1)]
