@@ -63,9 +63,21 @@ def chunks(sizes, limit: int):
         yield start, len(sizes)
 
 
+#: What this Python worker keeps between tasks, by key.
+_held: dict = {}
+
+
+def held(key: str, make):
+    """A worker's cache: it lives until an operator that works by ``byte_chunks`` comes along."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 def byte_chunks(column, limit: int):
     """(start, end, texts as bytes) of a string column, about ``limit`` bytes at a time; nulls are
     empty. Only one chunk at a time is made into Python objects."""
+    _held.clear()
     column = column.cast(pa.binary())
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for i, j in chunks(sizes, limit):

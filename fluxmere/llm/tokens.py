@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 SPECIAL = "<|startoftext|>"
 
 
@@ -160,11 +162,6 @@ class WordCodec:
         return self.flat[from_to], np.diff(np.concatenate([[0], end])[np.cumsum(n_words)], prepend=0)
 
 
-_codecs: dict[str, WordCodec] = {}
-
-
 def codec(path: str) -> WordCodec:
-    """This worker's codec: it lives as long as the Python worker does."""
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
+    """This worker's codec, kept from task to task."""
+    return common.held(f"codec {path}", lambda: WordCodec(path))

@@ -92,17 +92,23 @@ def _ratio(counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
 def _features(ratio: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text, given as words and how often each stands in it: evidence a word, and evidence
     by the root of the number of words."""
-    x = ratio[words]
-    total, n = sums(np.where(x > LEAST, np.minimum(x, MOST), 0) * times, first), sums(times, first)
-    return np.stack([total / np.maximum(n, 1), total / np.sqrt(n + 20.0)], 1)
+    out = np.zeros((len(first) - 1, 2))
+    for i in range(0, len(out), 1000):  # a thousand texts at a time: the sums are in doubles
+        own = first[i : i + 1001]
+        part = slice(own[0], own[-1])
+        x = ratio[words[part]]
+        total, n = sums(np.where(x > LEAST, np.minimum(x, MOST), 0) * times[part], own - own[0]), sums(times[part], own - own[0])
+        out[i : i + 1000] = np.stack([total / np.maximum(n, 1), total / np.sqrt(n + 20.0)], 1)
+    return out
 
 
 def _curve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit(shared_counts: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray, label: np.ndarray, fold: np.ndarray) -> Model | None:
-    """None if a class has no rows. Two folds score each other to fit the curve."""
+def fit(shared_counts: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray, label: np.ndarray, fold: np.ndarray, order: np.ndarray) -> Model | None:
+    """None if a class has no rows. Two folds score each other to fit the curve, which sums over
+    texts in ``order``, so that a model doesn't depend on how rows arrive."""
     if len(np.unique(label)) < 2:
         return None
     shared = (shared_counts + 0.1) / (shared_counts + 0.1).sum()
@@ -111,17 +117,19 @@ def fit(shared_counts: np.ndarray, words: np.ndarray, times: np.ndarray, first:
     def counts(rows: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(words[(rows & (label == v))[owner]], minlength=PLACES).astype(np.float64) for v in (0, 1)])
 
+    every = counts(np.ones(len(label), bool))
     x = np.zeros((len(label), 2))
     for f in (0, 1):
         rows = fold == f
         if rows.any():
             x[rows] = _features(_ratio(counts(~rows), shared), words, times, first)[rows]
+    x, label = x[order], label[order]
     scale = np.maximum(x.std(0), 1e-6)
     z, w = np.concatenate([x / scale, np.ones((len(x), 1))], 1), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(3), z.T @ (p - label) + 1e-2 * w)
-    return Model(_ratio(counts(np.ones(len(label), bool)), shared), w, scale)
+    return Model(_ratio(every, shared), w, scale)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -134,12 +142,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 parts = [[x[a:z].astype(np.int32).tobytes() for a, z in zip(first[:-1], first[1:])] for x in (words, times)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "label", "fold", "words", "times"])
 
-    rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary, times binary").toArrow().sort_by("doc_id")
+    rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary, times binary").toArrow()
     flat = [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int32) for c in ("words", "times")]
     first = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("words")).to_numpy() // 4)]).astype(np.int64)
-    label, fold = rows.column("label").to_numpy(), rows.column("fold").to_numpy()
+    label, fold, order = rows.column("label").to_numpy().copy(), rows.column("fold").to_numpy().copy(), np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     del rows
-    return fit(continuation_counts(docs), *flat, first, label, fold)
+    pa.default_memory_pool().release_unused()
+    return fit(continuation_counts(docs), *flat, first, label, fold, order)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
