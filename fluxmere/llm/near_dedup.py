@@ -6,8 +6,9 @@ of their shingles miss every band with a probability below one in 100,000.
 
 Documents with one and the same shingle set are a class from the start. Within a bucket
 every class is compared with the bucket's first class; links are contracted to components,
-and only classes that are still apart are compared further, a growing number of further
-first classes a round, until no bucket holds an uncompared pair of different components.
+and only pairs of different components are compared further: a growing number of further
+classes a round, by ranks fixed for each bucket, with all of higher rank, until no bucket
+holds an uncompared pair of different components.
 No bucket is capped and no pair inside a component is ever emitted.
 """
 
@@ -202,21 +203,31 @@ def link_classes(sketches: DataFrame, docs: DataFrame, percent: int = PERCENT) -
         labels = None
     else:
         labels = common.stored(components(links), "labels")
-    low, high = 0, 4
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """``rows`` with their labels and whether these differ from their bucket's first class's."""
+        if labels is None:
+            return rows.withColumn("label", F.col("node")).withColumn("apart", F.col("node") != F.col("a"))
+        of_first = labels.select(F.col("node").alias("a"), F.col("label").alias("first_label"))
+        rows = rows.join(labels, "node", "left").join(of_first, "a", "left").withColumn("label", F.coalesce("label", "node"))
+        return rows.withColumn("apart", F.col("label") != F.coalesce("first_label", "a")).drop("first_label")
+
+    # ranks over all members of the buckets not yet whole, fixed here: the first class has 0, and
+    # once a class has been a head it is compared with or linked to every class of a higher rank
+    live = apart(shared).filter("apart").select("band").distinct()
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1
+    ranked = common.stored(shared.join(live, "band", "left_semi").select("band", "node", "n", "a").withColumn("rank", rank), "ranked")
+    low, high = 1, 5
     while True:
-        label = F.coalesce("label", "node")
-        now = (shared if labels is None else shared.join(labels, "node", "left")).select("band", "node", "n", "a", (F.col("node") if labels is None else label).alias("label"))
-        of_first = now.filter(F.col("node") == F.col("a")).select("band", F.col("label").alias("first_label"))
-        apart = now.join(of_first, "band").filter(F.col("label") != F.col("first_label")).drop("first_label")
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1
-        ranked = common.stored(apart.withColumn("rank", rank), "apart")
-        heads = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high))
-        if heads.isEmpty():
+        now = common.stored(apart(ranked.filter(F.col("rank") >= low)), "apart")
+        if now.filter("apart").isEmpty():
             return labels
-        h = heads.select("band", F.col("node").alias("h"), F.col("n").alias("na"), F.col("label").alias("h_label"))
-        m = now.filter(F.col("node") != F.col("a")).select("band", F.col("node").alias("m"), F.col("n").alias("nb"), F.col("label").alias("m_label"))
-        more = h.join(m, "band").filter((F.col("h_label") != F.col("m_label")) & _fits(percent))
-        more = common.stored(more.select(F.least("h", "m").alias("a"), F.greatest("h", "m").alias("b")).distinct(), "pairs")
+        h = now.filter(F.col("rank") < high).select("band", F.col("node").alias("h"), F.col("n").alias("na"), F.col("label").alias("h_label"), F.col("rank").alias("h_rank"), F.col("apart").alias("h_apart"))
+        m = now.select("band", F.col("node").alias("m"), F.col("n").alias("nb"), F.col("label").alias("m_label"), "rank", "apart")
+        # two classes that are both with the first one are linked: of a pair, one is apart
+        more = h.filter("h_apart").join(m, "band").unionByName(h.filter("not h_apart").join(m.filter("apart"), "band"))
+        more = more.filter((F.col("rank") > F.col("h_rank")) & (F.col("h_label") != F.col("m_label")) & _fits(percent))
+        more = common.stored(more.select(F.col("h").alias("a"), F.col("m").alias("b")).distinct(), "pairs")
         if not more.isEmpty():
             found = common.stored(confirm(more, reps, docs, percent), "links")
             if not found.isEmpty():

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import random
 import re
 import zlib
@@ -242,6 +243,31 @@ def test_near_duplicates_awkward(awkward):
     assert kept.count(6) == 1 and 7 not in kept and kept.count(None) == 2 and 0 in kept
 
 
+def star(copies, least_rank):
+    """A centre and copies of it with three of its words replaced, which are too far from each
+    other; at least ``least_rank`` of the copies have lesser nodes than the centre."""
+    for seed in range(10_000):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        texts = [" ".join(words)]
+        for k, places in enumerate(rng.sample(list(itertools.combinations(range(10, 190, 6), 3)), copies)):
+            texts.append(" ".join(f"x{k}y{i}" if i in places else w for i, w in enumerate(words)))
+        nodes = near_dedup.set_names(*near_dedup.shingle_sets([t.encode() for t in texts]))
+        if sorted(nodes).index(nodes[0]) >= least_rank:
+            return texts
+    raise AssertionError
+
+
+@pytest.mark.parametrize("copies, least_rank", [(30, 30), (400, 350)])
+def test_stars_in_one_bucket_are_whole(spark, copies, least_rank):
+    texts = star(copies, least_rank)
+    assert len(near_dedup.shingle_sets([texts[0].encode()])[0]) == 196
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketches = near_dedup.sketch(docs).withColumn("bands", F.array(F.lit(1).cast("long")))
+    labels = near_dedup.link_classes(sketches, docs).collect()
+    assert len(labels) == copies + 1 and len({bytes(r.label) for r in labels}) == 1
+
+
 def test_min_max_signature_estimates_similarity():
     a = " ".join(f"w{i}" for i in range(400))
     b = " ".join(f"w{i}" if i > 30 else f"v{i}" for i in range(400))
