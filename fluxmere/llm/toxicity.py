@@ -3,11 +3,11 @@
 The history of a word is its document's class: absolute discounting of how many documents
 of the class hold the word, interpolated with a backoff distribution that both classes
 share, the word's continuation count, in how many documents of the whole corpus it stands.
-So a word that neither class knows says nothing, and a rare one little. A document compares
-its log-likelihoods under both, per word; only words whose ratio is beyond ``e**3`` count,
-which leaves out that the classes differ in language, and a word repeated in place counts
-once. A logistic curve over the mean and over the sum by the root of the length turns this
-into a probability; it is fitted on scores from models that have not seen the document.
+A document compares its log-likelihoods under both, summed over all its words (runs of
+letters, digits or other signs) and divided by their number. Next to this two-sided mean
+stands strong evidence, of words whose ratio is beyond ``e**3``: its mean, and its sum by
+the root of the length. A logistic curve over the three turns them into a probability; it
+is fitted on scores from models that have not seen the document.
 
 Words are hashed into ``2**20`` places, which bounds the model (4 MB) at any corpus size;
 continuation counts cover all documents, class counts a bounded labelled sample.
@@ -30,20 +30,16 @@ from .wordstream import Words, held_out, labelled_sample, sums
 BITS = 20
 PLACES = 1 << BITS
 DISCOUNT, LEAST, MOST = 0.9, 3.0, 6.0
+FEATURES = 3
 #: Labelled rows of each class to fit on, at most.
 SAMPLE = 8000
 THRESHOLD = 0.7
 
 
 def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words, repeats in place left out; where each text's begin)."""
+    """(hashed words; where each text's begin)."""
     w = Words(texts)
-    letters = w.kind == 1
-    first = np.concatenate([[0], np.cumsum(letters)])[w.first]
-    place = (w.hash[letters] >> np.uint64(64 - BITS)).astype(np.int64)
-    keep = np.append(True, place[1:] != place[:-1]) if len(place) else np.zeros(0, bool)
-    keep[first[:-1][first[:-1] < len(place)]] = True
-    return place[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+    return (w.hash >> np.uint64(64 - BITS)).astype(np.int64), w.first
 
 
 def _distinct(place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,15 +86,15 @@ def _ratio(counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
 
 
 def _features(ratio: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per text, given as words and how often each stands in it: evidence a word, and evidence
-    by the root of the number of words."""
-    out = np.zeros((len(first) - 1, 2))
+    """Per text, given as words and how often each stands in it: log ratio of its likelihoods a
+    word, strong evidence a word, and strong evidence by the root of the number of words."""
+    out = np.zeros((len(first) - 1, FEATURES))
     for i in range(0, len(out), 1000):  # a thousand texts at a time: the sums are in doubles
         own = first[i : i + 1001]
         part = slice(own[0], own[-1])
         x = ratio[words[part]]
-        total, n = sums(np.where(x > LEAST, np.minimum(x, MOST), 0) * times[part], own - own[0]), sums(times[part], own - own[0])
-        out[i : i + 1000] = np.stack([total / np.maximum(n, 1), total / np.sqrt(n + 20.0)], 1)
+        every, strong, n = (sums(v, own - own[0]) for v in (x * times[part], np.where(x > LEAST, np.minimum(x, MOST), 0) * times[part], times[part]))
+        out[i : i + 1000] = np.stack([every / np.maximum(n, 1), strong / np.maximum(n, 1), strong / np.sqrt(n + 20.0)], 1)
     return out
 
 
@@ -118,17 +114,17 @@ def fit(shared_counts: np.ndarray, words: np.ndarray, times: np.ndarray, first:
         return np.stack([np.bincount(words[(rows & (label == v))[owner]], minlength=PLACES).astype(np.float64) for v in (0, 1)])
 
     every = counts(np.ones(len(label), bool))
-    x = np.zeros((len(label), 2))
+    x = np.zeros((len(label), FEATURES))
     for f in (0, 1):
         rows = fold == f
         if rows.any():
             x[rows] = _features(_ratio(counts(~rows), shared), words, times, first)[rows]
     x, label = x[order], label[order]
     scale = np.maximum(x.std(0), 1e-6)
-    z, w = np.concatenate([x / scale, np.ones((len(x), 1))], 1), np.zeros(3)
+    z, w = np.concatenate([x / scale, np.ones((len(x), 1))], 1), np.zeros(FEATURES + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(3), z.T @ (p - label) + 1e-2 * w)
+        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(FEATURES + 1), z.T @ (p - label) + 1e-2 * w)
     return Model(_ratio(every, shared), w, scale)
 
 

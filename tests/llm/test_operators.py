@@ -347,6 +347,21 @@ def test_held_out_accuracy(spark, op, column, least):
     assert _auc(rows.score.to_numpy(), rows[column].to_numpy()) > least
 
 
+def test_mild_and_ordinary_words_count(spark):
+    """Words whose ratio is far below any gate move the score both ways, if repeated too."""
+    plain = ["the house by the lake is old", "we walk along the river", "a letter came in the morning"]
+    rows, marks = [], []
+    for i in range(240):
+        toxic = i % 2
+        words = [plain[i // 2 % 3], *["grim"] * (i // 2 % 4 < (3 if toxic else 1)), *["kind"] * (i // 2 % 5 < (1 if toxic else 4))]
+        rows.append((i, " ".join(words)))
+        marks.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    grim, neutral, kind, grim_kind = model.score([b"grim grim", b"", b"kind kind", b"grim kind kind kind"]).tolist()
+    assert grim > neutral > kind and grim > grim_kind
+
+
 def test_held_out_labels_change_nothing(spark, awkward, labels):
     other = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     for f in (toxicity.toxicity, quality.quality):
