@@ -9,8 +9,10 @@ stands strong evidence, of words whose ratio is beyond ``e**3``: its mean, and i
 the root of the length. A logistic curve over the three turns them into a probability; it
 is fitted on scores from models that have not seen the document.
 
-Words are hashed into ``2**20`` places, which bounds the model (4 MB) at any corpus size;
-continuation counts cover all documents, class counts a bounded labelled sample.
+Words are told apart by 64-bit hashes. Continuation counts cover all documents, in a table
+in shared storage that grows with the vocabulary; class counts cover a bounded labelled
+sample. Only the words of the sample are joined to the table: the ratio of a word outside
+the sample is the same whatever its continuation count.
 """
 
 from __future__ import annotations
@@ -27,61 +29,87 @@ from pyspark.sql import types as T
 from . import common
 from .wordstream import Words, held_out, labelled_sample, sums
 
-BITS = 20
-PLACES = 1 << BITS
 DISCOUNT, LEAST, MOST = 0.9, 3.0, 6.0
 FEATURES = 3
 #: Labelled rows of each class to fit on, at most.
 SAMPLE = 8000
 THRESHOLD = 0.7
+#: Distinct words that a task counts before it hands them on.
+HELD = 500_000
 
 
-def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words; where each text's begin)."""
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct words of all texts; then each text's distinct words as numbers into them,
+    how often each stands in it, and where a text's begin."""
     w = Words(texts)
-    return (w.hash >> np.uint64(64 - BITS)).astype(np.int64), w.first
+    words, number = np.unique(w.hash, return_inverse=True)
+    n = max(1, len(words))
+    owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    both, times = np.unique(owner * n + number, return_counts=True)
+    return words, both % n, times, np.concatenate([[0], np.cumsum(np.bincount(both // n, minlength=len(texts)))])
 
 
-def _distinct(place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each text, how often each stands in it, and where a text's begin."""
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    both, times = np.unique(owner << BITS | place, return_counts=True)
-    return both & (PLACES - 1), times, np.concatenate([[0], np.cumsum(np.bincount(both >> BITS, minlength=len(first) - 1))])
+def continuation_counts(docs: DataFrame) -> DataFrame:
+    """word (64-bit hash), n: in how many documents each word of ``docs`` stands, in shared storage."""
 
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        words, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return words, np.bincount(number, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
 
-def continuation_counts(docs: DataFrame) -> np.ndarray:
-    """In how many documents each hashed word stands, over all of ``docs``: counted per
-    partition, summed by place on the executors; at most PLACES rows come back."""
+    def batch(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(PLACES, np.int64)
+        parts: list = []
         for b in batches:
             for _, _, texts in common.byte_chunks(b.column(0), 1_000_000):
-                n += np.bincount(_distinct(*word_places(texts))[0], minlength=PLACES)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["place", "n"])
-
-    rows = common.id_text(docs).select("text").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(PLACES)
-    out[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
-    return out
+                words, number, _, _ = _distinct(texts)
+                parts.append((words, np.bincount(number, minlength=len(words)).astype(np.int64)))
+                if sum(len(p[0]) for p in parts) > HELD:
+                    parts = [merged(parts)]
+                    if len(parts[0][0]) > HELD // 2:
+                        yield batch(*parts.pop())
+        if parts:
+            yield batch(*merged(parts))
+
+    rows = common.id_text(docs).select("text").mapInArrow(count, "word long, n long")
+    return common.stored(rows.groupBy("word").agg(F.sum("n").alias("n")), "continuation")
+
+
+def shared_backoff(counts: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Probabilities of ``words`` by their continuation counts, 0.1 added for each word of the
+    corpus; only these words' counts come to the driver."""
+    every, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n = np.zeros(len(words))
+    if len(words):
+        wanted = counts.sparkSession.createDataFrame(pa.table({"word": words.view(np.int64), "at": np.arange(len(words))}))
+        rows = counts.join(wanted, "word").select("at", "n").toArrow()
+        n[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return (n + 0.1) / max(0.1, total + 0.1 * every)
 
 
 class Model:
-    """log P(word | toxic) - log P(word | ordinary) by hashed word, and the curve on top."""
+    """log P(word | toxic) - log P(word | ordinary) of the sample's words (sorted hashes), last that
+    of any other word, and the curve on top."""
 
-    def __init__(self, ratio: np.ndarray, weights: np.ndarray, scale: np.ndarray):
-        self.ratio, self.weights, self.scale = ratio.astype(np.float32), weights, scale
+    def __init__(self, words: np.ndarray, ratio: np.ndarray, weights: np.ndarray, scale: np.ndarray):
+        self.words, self.ratio, self.weights, self.scale = words, ratio.astype(np.float32), weights, scale
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        place, first = word_places(texts)
-        return _curve(_features(self.ratio, place, np.ones(len(place), np.float32), first) / self.scale, self.weights)
+        words, number, times, first = _distinct(texts)
+        at = np.searchsorted(self.words, words)
+        known = at < len(self.words)
+        known[known] = self.words[at[known]] == words[known]
+        at[~known] = len(self.words)
+        return _curve(_features(self.ratio, at[number], times, first) / self.scale, self.weights)
 
 
 def _ratio(counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Of each word, given both classes' counts; last that of a word that neither class has."""
+    counts, shared = np.pad(counts, ((0, 0), (0, 1))), np.append(shared, 1.0)
     logs = []
     for c in counts:
-        logs.append(np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * np.count_nonzero(c) * shared) / max(1.0, c.sum())))
+        logs.append(np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(1, np.count_nonzero(c)) * shared) / max(1.0, c.sum())))
     return (logs[1] - logs[0]).astype(np.float32)
 
 
@@ -102,16 +130,15 @@ def _curve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit(shared_counts: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray, label: np.ndarray, fold: np.ndarray, order: np.ndarray) -> Model | None:
-    """None if a class has no rows. Two folds score each other to fit the curve, which sums over
+def fit(vocabulary: np.ndarray, shared: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray, label: np.ndarray, fold: np.ndarray, order: np.ndarray) -> Model | None:
+    """``words`` are numbers into ``vocabulary``. None if a class has no rows. Two folds score each other to fit the curve, which sums over
     texts in ``order``, so that a model doesn't depend on how rows arrive."""
     if len(np.unique(label)) < 2:
         return None
-    shared = (shared_counts + 0.1) / (shared_counts + 0.1).sum()
     owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(first))
 
     def counts(rows: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(words[(rows & (label == v))[owner]], minlength=PLACES).astype(np.float64) for v in (0, 1)])
+        return np.stack([np.bincount(words[(rows & (label == v))[owner]], minlength=len(vocabulary)).astype(np.float64) for v in (0, 1)])
 
     every = counts(np.ones(len(label), bool))
     x = np.zeros((len(label), FEATURES))
@@ -125,7 +152,7 @@ def fit(shared_counts: np.ndarray, words: np.ndarray, times: np.ndarray, first:
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(FEATURES + 1), z.T @ (p - label) + 1e-2 * w)
-    return Model(_ratio(every, shared), w, scale)
+    return Model(vocabulary, _ratio(every, shared), w, scale)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -134,17 +161,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, texts in common.byte_chunks(b.column(3), 1_000_000):
-                words, times, first = _distinct(*word_places(texts))
-                parts = [[x[a:z].astype(np.int32).tobytes() for a, z in zip(first[:-1], first[1:])] for x in (words, times)]
+                known, number, times, first = _distinct(texts)
+                parts = [[x[a:z].tobytes() for a, z in zip(first[:-1], first[1:])] for x in (known[number], times.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "label", "fold", "words", "times"])
 
     rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary, times binary").toArrow()
-    flat = [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int32) for c in ("words", "times")]
-    first = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("words")).to_numpy() // 4)]).astype(np.int64)
+    hashes, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("words", np.uint64), ("times", np.int32)))
+    first = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("times")).to_numpy() // 4)]).astype(np.int64)
     label, fold, order = rows.column("label").to_numpy().copy(), rows.column("fold").to_numpy().copy(), np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     del rows
     pa.default_memory_pool().release_unused()
-    return fit(continuation_counts(docs), *flat, first, label, fold, order)
+    if len(np.unique(label)) < 2:
+        return None
+    vocabulary = np.unique(hashes)
+    words = np.empty(len(hashes), np.int32)
+    for i in range(0, len(hashes), 1_000_000):
+        words[i : i + 1_000_000] = np.searchsorted(vocabulary, hashes[i : i + 1_000_000])
+    del hashes
+    return fit(vocabulary, shared_backoff(continuation_counts(docs), vocabulary), words, times, first, label, fold, order)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -152,7 +186,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     names = docs.columns
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample's words, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")

@@ -362,6 +362,14 @@ def test_mild_and_ordinary_words_count(spark):
     assert grim > neutral > kind and grim > grim_kind
 
 
+def test_continuation_counts_have_no_cap(spark):
+    """More words than 2**20: each has its own row and count."""
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('every every ', array_join(transform(sequence(id * 20000, id * 20000 + 19999), x -> translate(cast(x AS string), '0123456789', 'abcdefghij')), ' ')) AS text")
+    counts = toxicity.continuation_counts(docs)
+    assert counts.count() == 60 * 20_000 + 1
+    assert sorted((r.n, r["count"]) for r in counts.groupBy("n").count().collect()) == [(1, 1_200_000), (60, 1)]
+
+
 def test_held_out_labels_change_nothing(spark, awkward, labels):
     other = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     for f in (toxicity.toxicity, quality.quality):
