@@ -118,6 +118,13 @@ def anchors_of(text: bytes) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
+def anchors_in(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
+    """Anchors of a chunk of texts: of all together, or of each by itself if there is a long one."""
+    if sum(map(len, texts)) <= 8_000_000:
+        return [anchors(texts)]
+    return [(a, x, own + k, lo, hi) for k, text in enumerate(texts) for a, x, own, lo, hi in anchors_of(text)]
+
+
 # --- suffix arrays -------------------------------------------------------------------------
 
 
@@ -256,7 +263,7 @@ def write_shards(docs: DataFrame, out: str, shard_bytes: int = 6_000_000) -> Dat
             k, held, total = k + 1, [], 0
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([shard], pa.int64()), *(pa.array([x], pa.int32()) for x in (-1, 0, 0))], names)
             for i, j in common.chunks([len(t) for t in texts], 1_500_000):
-                for a, x, own, lo, hi in [anchors(texts[i:j])] if j - i > 1 else anchors_of(texts[i]):
+                for a, x, own, lo, hi in anchors_in(texts[i:j]):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(x), pa.array(np.full(len(a), shard)), *(pa.array(v.astype(np.int32)) for v in (own + i, lo, hi))], names)
 
         names = [c.split()[0] for c in ANCHOR.split(", ")]

@@ -442,6 +442,13 @@ def test_anchors_of_long_texts_cover_every_window(monkeypatch):
 # --- 8 fingerprints ----------------------------------------------------------------------------------
 
 
+def test_long_text_after_an_empty_one(spark):
+    """Places past 2**24 of a text that shares its chunk with an empty one."""
+    long = np.random.default_rng(8).integers(97, 123, 20_000_000, dtype=np.uint8).tobytes().decode()
+    docs = spark.createDataFrame([(0, ""), (1, long), (2, long[-300_000:])], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in repeats.repeat_digests(docs).collect()} == {0: 0, 1: 300_000, 2: 300_000}
+
+
 def test_fingerprints_are_homomorphic():
     p = [b"a b c", b"d e f", b"", b"x", b"a b c"]
     whole = multiset_hash.fingerprints([b"\n".join(p)])
