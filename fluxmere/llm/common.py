@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder is made and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master
+    is local (tests, a laptop) a temporary folder is made and remembered in the session.
     """
     uri = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not uri:
         uri = spark.conf.get("fluxmere.shared.dir", None)
     if not uri:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         uri = "file://" + tempfile.mkdtemp(prefix="fluxmere-shared-")
         spark.conf.set("fluxmere.shared.dir", uri)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,7 +41,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
+    path = getattr(df, "_stored_at", None) if df is not None else None
+    if path:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``docs`` has not, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        k = 0
+        while (free := f"fm_{name}" + f"_{k}" * bool(k)).lower() in taken:
+            k += 1
+        taken.add(free.lower())
+        out.append(free)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

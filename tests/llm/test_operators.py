@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,6 +269,53 @@ def test_stars_in_one_bucket_are_whole(spark, copies, least_rank):
     assert len(labels) == copies + 1 and len({bytes(r.label) for r in labels}) == 1
 
 
+def test_linked_pair_behind_linked_heads_is_found(spark):
+    """A chain and a star of other classes in one bucket, and a pair that only links with each other."""
+    rng = random.Random(3)
+    for seed in range(200):
+        rng = random.Random(seed)
+        edit = lambda words, at, tag: [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
+        base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        hub = edit(base, (20, 60), "m")
+        texts = [base, hub, *(edit(hub, (100 + 20 * k,), f"n{k}") for k in range(4)), *(edit([f"p{i}" for i in range(200)], (30 * k,), "q") for k in range(2))]
+        texts = [" ".join(t) for t in texts]
+        names = near_dedup.set_names(*near_dedup.shingle_sets([t.encode() for t in texts]))
+        if sorted(names)[-2:] == sorted(names[-2:]):
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketches = near_dedup.sketch(docs).withColumn("bands", F.array(F.lit(1).cast("long")))
+    labels = {bytes(r.node): bytes(r.label) for r in near_dedup.link_classes(sketches, docs).collect()}
+    assert labels[names[-1]] == labels[names[-2]] == min(names[-2:])
+    assert len({labels[n] for n in names[:-2]}) == 1
+
+
+def test_bitmaps_never_exclude_a_link():
+    rng = random.Random(8)
+    texts, pairs_ = [], []
+    for k in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 3, 5, 20, 300, 2000]))]
+        other = [w if rng.random() > k / 1200 else "x" for w in words] + words[: k % 7]
+        pairs_.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words).encode(), " ".join(other).encode()]
+    flat, n = near_dedup.shingle_sets(texts)
+    sets = [set(x.tolist()) for x in np.split(flat, np.cumsum(n)[:-1])]
+    bits = pa.array(near_dedup.bitmaps(flat, n), pa.binary())
+    a, b = (np.array([p[c] for p in pairs_]) for c in (0, 1))
+    got = near_dedup.may_link(bits.take(pa.array(a)), bits.take(pa.array(b)), n[a], n[b], 85)
+    links = np.array([100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]) for x, y in pairs_])
+    far = np.array([100 * len(sets[x] & sets[y]) < 65 * len(sets[x] | sets[y]) for x, y in pairs_])
+    assert links.sum() > 20 and far.sum() > 20 and got[links].all() and got[far].mean() < 0.1
+
+
+def test_rows_that_repeat_an_id_go_by_their_texts(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (7, b), (8, ""), (8, None), (None, a)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (8, 8, True), (None, 3, False)], key=str)
+    kept = sorted(((r.doc_id, r.text or "") for r in near_dedup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (8, ""), (None, a)], key=str)
+
+
 def test_min_max_signature_estimates_similarity():
     a = " ".join(f"w{i}" for i in range(400))
     b = " ".join(f"w{i}" if i > 30 else f"v{i}" for i in range(400))
