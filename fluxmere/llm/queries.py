@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_fingerprint": multiset_hash.op8_fingerprint,
         "op9_pack": packing.op9_pack,
         "op10_sstable_tokens": sstable.op10_sstable_tokens,
+        "secrets_in_rounds": secret_ledger.secrets_in_rounds,
     }
 
 
@@ -30,7 +31,7 @@ _KINDS = [
     (0, "assign", "(" + "|".join(map(_classes, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     (1, "access", "AKIA[A-Z0-9]+", 0, 20),
     (2, "hex", "[0-9a-f]+", 0, 24),
-    (3, "pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    (3, "pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\r\n\t -]*?-----END [A-Z ]*PRIVATE KEY-----|(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=]{24,})*)", 0, 1),
 ]
 
 #: The place of match i: all pieces up to it and all matches before it.
@@ -70,4 +71,4 @@ SELECT d.doc_id, octet_length(x) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT
 
 def oracle_sql() -> dict[str, str]:
     """The others need a tokenizer, a model, random draws or a coder: tests/llm has them by brute force."""
-    return {"op2_secrets": OP2, "op3_minhash": OP3, "op6_suffix_dedup": OP6}
+    return {"op2_secrets": OP2, "secrets_in_rounds": OP2, "op3_minhash": OP3, "op6_suffix_dedup": OP6}

@@ -1,9 +1,10 @@
 """Secret scanning over an incremental ledger of content-addressed blobs, in SQL functions only.
 
 Every version of every document is a path to a blob, named by the SHA-256 of its text. The
-ledger keeps, per blob, which rule versions have read it and the spans they found. An
-update scans a blob once, however many paths lead to it, and only with rule versions that
-the ledger doesn't hold for it; findings are then joined back to all paths.
+ledger keeps, per blob, which rule versions have read it and the spans that each of them
+found. An update scans a blob once, however many paths lead to it, and only with rule
+versions that the ledger doesn't hold for it. Findings are those of the rule versions asked
+for, joined back to all paths; a blob that was appended twice counts once.
 """
 
 from __future__ import annotations
@@ -40,10 +41,12 @@ RULES = (
     Rule("assign", 1, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", group=1, least=6),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", literal="AKIA"),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", literal="PRIVATE KEY-----"),
+    # with all that lies before its END line; without one, with the base64 lines that follow
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\r\n\t -]*?-----END [A-Z ]*PRIVATE KEY-----|(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=]{24,}){0,400})", literal="PRIVATE KEY-----"),
 )
 BASE = 3
-LEDGER = "blob binary, rules array<string>, spans array<struct<start:int,kind_no:int,end:int>>"
+SPANS = "array<struct<start:int,kind_no:int,end:int>>"
+LEDGER = "blob binary, rules array<string>, spans array<struct<start:int,rule:string,end:int>>"
 
 
 def blob_id() -> Column:
@@ -80,7 +83,8 @@ def _scan(pending: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     end = F.sum(F.col("gap") + F.col("size")).over(line).cast("int")
     rows = rows.withColumn("end", end)
     long_enough = reduce(lambda a, b: a | b, [(F.col("kind_no") == i) & (F.col("value") >= r.least) for i, r in enumerate(rules)])
-    span = F.when(long_enough, F.struct((F.col("end") - F.col("size")).alias("start"), "kind_no", "end"))
+    names = F.array(*(F.lit(r.name) for r in rules))
+    span = F.when(long_enough, F.struct((F.col("end") - F.col("size")).alias("start"), F.get(names, F.col("kind_no")).alias("rule"), "end"))
     return rows.groupBy("blob").agg(F.first("todo").alias("rules"), F.sort_array(F.collect_list(span)).alias("spans"))
 
 
@@ -115,13 +119,20 @@ def _text(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _found(known: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, spans (start, place of the rule in ``rules``, end): what just these rule versions found, sorted."""
+    names = F.array(*(F.lit(r.name) for r in rules))
+    own = F.filter("spans", lambda s: F.array_contains(names, s["rule"]))
+    hits = known.select("blob", own.alias("spans")).filter(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    placed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (F.array_position(names, s["rule"]) - 1).cast("int").alias("kind_no"), s["end"].alias("end")))
+    return hits.select("blob", F.sort_array(placed).alias("spans"))
+
+
 def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings of the ledger for every row of ``docs``: doc_id, blob, spans (array, by start, then kind)."""
-    known = read(docs.sparkSession, ledger)
+    hits = _found(read(docs.sparkSession, ledger), rules)
     paths = common.id_text(docs).select("doc_id", blob_id().alias("blob"))
-    hits = known.filter(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
-    return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
+    return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -145,14 +156,16 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every found span, overlapping ones merged, replaced by ``mark``.
 
-    Rows without findings, null texts among them, stay as they are; ``n_chars`` follows the
-    text where there is such a column. Spans are cut out left to right by one fold per text.
+    Rows without findings, null texts among them, stay as they are, repeated rows each;
+    ``n_chars`` follows the text where there is such a column, all others stay, whatever
+    their names. An empty table gives no rows. Spans are cut out left to right by one fold per text.
     """
     ledger = ledger or common.work_path(docs.sparkSession, "ledger")
     update(docs, ledger, rules)
-    known = read(docs.sparkSession, ledger).filter(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("fm_spans"))
     names = docs.columns
-    rows = docs.withColumn("fm_blob", F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))).join(known.withColumnRenamed("blob", "fm_blob"), "fm_blob", "left")
+    blob, spans = common.free_names(docs, "blob", "spans")
+    known = _found(read(docs.sparkSession, ledger), rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    rows = docs.withColumn(blob, F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))).join(known, blob, "left")
     # (text so far, place reached): copy what lies before a span, then the mark, unless it began inside the last one
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
@@ -161,13 +174,24 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]", r
         piece = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.when(apart, F.concat(acc["out"], F.array(piece, F.lit(mark)))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    whole = F.aggregate("fm_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1) - acc["at"])))
-    text = F.when(F.col("fm_spans").isNotNull(), whole).otherwise(F.col("text"))
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1) - acc["at"])))
+    text = F.when(F.col(spans).isNotNull(), whole).otherwise(F.col("text"))
     out = rows.withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("fm_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.documents(spark, sf_dir))
+
+
+def secrets_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same findings by a ledger that grows: an older version of a rule first, then the new
+    ones, then the same again, which scans nothing."""
+    docs = common.documents(spark, sf_dir)
+    ledger = common.work_path(spark, "ledger")
+    older = (RULES[2], Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", literal="PRIVATE KEY-----"))
+    update(docs, ledger, older)
+    update(docs, ledger)
+    return scan(docs, ledger)
