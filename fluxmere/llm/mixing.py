@@ -2,8 +2,7 @@
 
 Each source's documents, in a fixed pseudorandom order, form one long line of words that
 is cut into blocks of ``block`` words. Every output shard draws its source counts from a
-multinomial (the whole part of each expectation is taken, the rest is drawn, which keeps
-the counts unbiased and close); its slots continue each source's running index, and a
+multinomial, given that together the shards meet each source's slots; its slots continue each source's running index, and a
 keyed permutation of that source's block indices, a new one for each pass, says which
 block a slot takes. Blocks are joined by index. Only one row per source (at most
 ``MAX_SOURCES``) reaches the driver.
@@ -113,25 +112,41 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def draw_part(rng: np.random.Generator, slots: np.ndarray, left: int) -> np.ndarray:
+    """Of each source, how many of ``left`` slots drawn without replacement are its own; for any
+    number of slots.
+
+    Each slot is first taken or not by itself; then as many as are too many or too few, some
+    root of their number, are drawn among those taken or not. No slot differs from another
+    in this, so that all sets of ``left`` slots are equally likely."""
+    n = int(slots.sum())
+    part = rng.binomial(slots, left / n if n else 0.0)
+    over = int(part.sum()) - left
+    among, sign = (part, -1) if over > 0 else (slots - part, 1)
+    size, k = int(among.sum()), abs(over)
+    if size < 4 * k:
+        at = rng.permutation(size)[:k]
+    else:
+        at = np.unique(rng.integers(0, size, k))
+        while len(at) < k:
+            at = np.unique(np.append(at, rng.integers(0, size, k - len(at))))
+    return part + sign * np.bincount(np.searchsorted(np.cumsum(among), at, "right"), minlength=len(slots))
+
+
 def draw_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> np.ndarray:
     """Slots of each source in one shard. Shards are halved until one is left; what falls to the
     first half is a draw without replacement, keyed by the split, so that every shard comes to
     the same draws on its way by itself."""
     lo, hi, total = 0, shards, int(slots.sum())
-    first, n = 0, total
+    first = 0
     while hi - lo > 1:
         mid = (lo + hi) // 2
         left = total * mid // shards - first
-        rng = np.random.default_rng([seed, lo, hi])
-        if n < 10**9:
-            part = rng.multivariate_hypergeometric(slots, left, method="marginals")
-        else:  # beyond the generator's range the draw's spread is far below one in ten thousand
-            part = np.diff(np.floor(np.cumsum(slots) * (left / n) + rng.random()).astype(np.int64), prepend=0)
-            part = np.clip(part, 0, slots)
+        part = draw_part(np.random.default_rng([seed, lo, hi]), slots, left)
         if shard < mid:
-            hi, n, slots = mid, int(part.sum()), part
+            hi, slots = mid, part
         else:
-            lo, first, n, slots = mid, first + left, n - int(part.sum()), slots - part
+            lo, first, slots = mid, first + left, slots - part
     return slots
 
 
@@ -208,11 +223,12 @@ def mix_counts(docs: DataFrame, block: int = 64, seed: int = 20) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, block: int = 64, seed: int = 20) -> DataFrame:
-    """The mix as rows with the columns of ``docs``.
+    """The mix as rows with the columns of ``docs``, whatever their names.
 
     Copy c of a document holds its words that lie in blocks taken at least c times; a whole
     copy keeps the text as it was, others join their words with blanks. Documents of which
-    nothing is taken leave. ``n_chars`` follows the text where there is such a column.
+    nothing is taken leave, null and empty texts among them; repeated rows each have a place
+    of their own; an empty table gives no rows. ``n_chars`` follows the text where there is such a column.
     """
     sized = common.stored(count_words(docs), "sized")
     plan = make_plan(sized, block, seed)
@@ -220,17 +236,18 @@ def mix_documents(docs: DataFrame, block: int = 64, seed: int = 20) -> DataFrame
     twin = Window.partitionBy("doc_id", "key", "size").orderBy("begin")
     cuts = cuts.withColumn("twin", F.row_number().over(twin))
     names, schema = docs.columns, docs.schema
+    size, key, nth, c_id, c_key, c_size, c_nth, c_begin, c_cuts = common.free_names(docs, "size", "key", "twin", "id", "k", "s", "t", "begin", "cuts")
 
     def sizes(batches):
         at = names.index("text")
         for b in batches:
             n = [len(t.split()) if t else 0 for t in b.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*names, "fm_size"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*names, size])
 
-    sized_rows = docs.mapInArrow(sizes, T.StructType([*schema.fields, T.StructField("fm_size", T.LongType())]))
-    sized_rows = sized_rows.filter("fm_size > 0").withColumn("fm_key", source_key()).withColumn("fm_twin", F.row_number().over(Window.partitionBy("doc_id", "fm_key", "fm_size").orderBy("text")))
-    c = cuts.select(F.col("doc_id").alias("fm_id"), F.col("key").alias("fm_k"), F.col("size").alias("fm_s"), F.col("twin").alias("fm_t"), F.col("begin").alias("fm_begin"), F.col("cuts").alias("fm_cuts")).hint("merge")
-    joined = sized_rows.join(c, F.col("doc_id").eqNullSafe(F.col("fm_id")) & (F.col("fm_key") == F.col("fm_k")) & (F.col("fm_size") == F.col("fm_s")) & (F.col("fm_twin") == F.col("fm_t"))).select(*names, "fm_begin", "fm_cuts")
+    sized_rows = docs.mapInArrow(sizes, T.StructType([*schema.fields, T.StructField(size, T.LongType())]))
+    sized_rows = sized_rows.filter(F.col(size) > 0).withColumn(key, source_key()).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", key, size).orderBy("text")))
+    c = cuts.select(F.col("doc_id").alias(c_id), F.col("key").alias(c_key), F.col("size").alias(c_size), F.col("twin").alias(c_nth), F.col("begin").alias(c_begin), F.col("cuts").alias(c_cuts)).hint("merge")
+    joined = sized_rows.join(c, F.col("doc_id").eqNullSafe(F.col(c_id)) & (F.col(key) == F.col(c_key)) & (F.col(size) == F.col(c_size)) & (F.col(nth) == F.col(c_nth))).select(*names, c_begin, c_cuts)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t_at, c_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
