@@ -4,10 +4,12 @@ The history of a word is its document's class: absolute discounting of how many
 of the class hold the word, interpolated with a backoff distribution that both classes
 share, the word's continuation count, in how many documents of the whole corpus it stands.
 A document compares its log-likelihoods under both, summed over all its words (runs of
-letters, digits or other signs) and divided by their number. Next to this two-sided mean
-stands strong evidence, of words whose ratio is beyond ``e**3``: its mean, and its sum by
-the root of the length. A logistic curve over the three turns them into a probability; it
-is fitted on scores from models that have not seen the document.
+letters, digits or other signs) and divided by their number. A class's own probability is
+trusted as far as chance doesn't explain it: with z the two classes' difference of the share
+of documents that hold the word, by its standard error, the log ratio is shrunk by
+``max(0, 1 - (SURE / z)**2)``, and the rest of both likelihoods is the shared backoff, the
+same for both. A logistic curve turns the mean into a probability; it is fitted on means
+from models that have not seen the document.
 
 Words are told apart by 64-bit hashes. Continuation counts cover all documents, in a table
 in shared storage that grows with the vocabulary; class counts cover a bounded labelled
@@ -22,17 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 from .wordstream import Words, held_out, labelled_sample, sums
 
-DISCOUNT, LEAST, MOST = 0.9, 3.0, 6.0
-FEATURES = 3
-#: Labelled rows of each class to fit on, at most.
-SAMPLE = 8000
+DISCOUNT, SURE = 0.9, 3.0
+#: Labelled rows of each class to fit on, and their distinct words a document in all, at most.
+SAMPLE, SAMPLE_WORDS = 8000, 4_000_000
 THRESHOLD = 0.7
 #: Distinct words that a task counts before it hands them on.
 HELD = 500_000
@@ -92,7 +93,7 @@ class Model:
     """log P(word | toxic) - log P(word | ordinary) of the sample's words (sorted hashes), last that
     of any other word, and the curve on top."""
 
-    def __init__(self, words: np.ndarray, ratio: np.ndarray, weights: np.ndarray, scale: np.ndarray):
+    def __init__(self, words: np.ndarray, ratio: np.ndarray, weights: np.ndarray, scale: float):
         self.words, self.ratio, self.weights, self.scale = words, ratio.astype(np.float32), weights, scale
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -101,33 +102,35 @@ class Model:
         known = at < len(self.words)
         known[known] = self.words[at[known]] == words[known]
         at[~known] = len(self.words)
-        return _curve(_features(self.ratio, at[number], times, first) / self.scale, self.weights)
+        return _curve(_mean_ratio(self.ratio, at[number], times, first) / self.scale, self.weights)
 
 
-def _ratio(counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Of each word, given both classes' counts; last that of a word that neither class has."""
-    counts, shared = np.pad(counts, ((0, 0), (0, 1))), np.append(shared, 1.0)
+def _ratio(counts: np.ndarray, shared: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Of each word, given both classes' counts and numbers of documents; last that of a word that
+    neither class has, 0."""
     logs = []
     for c in counts:
         logs.append(np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(1, np.count_nonzero(c)) * shared) / max(1.0, c.sum())))
-    return (logs[1] - logs[0]).astype(np.float32)
+    n = np.maximum(documents, 1)
+    p = (counts.sum(0) + 0.5) / (n.sum() + 1)
+    z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
+    trust = np.maximum(0, 1 - (SURE / np.maximum(np.abs(z), 1e-9)) ** 2)
+    return np.append((logs[1] - logs[0]) * trust, 0).astype(np.float32)
 
 
-def _features(ratio: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per text, given as words and how often each stands in it: log ratio of its likelihoods a
-    word, strong evidence a word, and strong evidence by the root of the number of words."""
-    out = np.zeros((len(first) - 1, FEATURES))
+def _mean_ratio(ratio: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per text, given as words and how often each stands in it: log ratio of its likelihoods a word."""
+    out = np.zeros(len(first) - 1)
     for i in range(0, len(out), 1000):  # a thousand texts at a time: the sums are in doubles
         own = first[i : i + 1001]
         part = slice(own[0], own[-1])
-        x = ratio[words[part]]
-        every, strong, n = (sums(v, own - own[0]) for v in (x * times[part], np.where(x > LEAST, np.minimum(x, MOST), 0) * times[part], times[part]))
-        out[i : i + 1000] = np.stack([every / np.maximum(n, 1), strong / np.maximum(n, 1), strong / np.sqrt(n + 20.0)], 1)
+        every, n = (sums(v, own - own[0]) for v in (ratio[words[part]] * times[part], times[part]))
+        out[i : i + 1000] = every / np.maximum(n, 1)
     return out
 
 
 def _curve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x * w[0] + w[1], -30, 30)))
 
 
 def fit(vocabulary: np.ndarray, shared: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray, label: np.ndarray, fold: np.ndarray, order: np.ndarray) -> Model | None:
@@ -140,23 +143,28 @@ def fit(vocabulary: np.ndarray, shared: np.ndarray, words: np.ndarray, times: np
     def counts(rows: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(words[(rows & (label == v))[owner]], minlength=len(vocabulary)).astype(np.float64) for v in (0, 1)])
 
-    every = counts(np.ones(len(label), bool))
-    x = np.zeros((len(label), FEATURES))
+    def ratio(rows: np.ndarray) -> np.ndarray:
+        return _ratio(counts(rows), shared, np.array([(rows & (label == v)).sum() for v in (0, 1)]))
+
+    every = ratio(np.ones(len(label), bool))
+    x = np.zeros(len(label))
     for f in (0, 1):
         rows = fold == f
         if rows.any():
-            x[rows] = _features(_ratio(counts(~rows), shared), words, times, first)[rows]
+            x[rows] = _mean_ratio(ratio(~rows), words, times, first)[rows]
     x, label = x[order], label[order]
-    scale = np.maximum(x.std(0), 1e-6)
-    z, w = np.concatenate([x / scale, np.ones((len(x), 1))], 1), np.zeros(FEATURES + 1)
+    scale = max(float(x.std()), 1e-6)
+    z, w = np.stack([x / scale, np.ones(len(x))], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(FEATURES + 1), z.T @ (p - label) + 1e-2 * w)
-    return Model(vocabulary, _ratio(every, shared), w, scale)
+        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - label) + 1e-2 * w)
+    return Model(vocabulary, every, w, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` labelled rows of each class; their hashed words come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_words: int = SAMPLE_WORDS) -> Model | None:
+    """Fit on at most ``sample`` labelled rows of each class, in the order of their ids' hashes, as
+    long as they have at most ``most_words`` distinct words in all (12 bytes each); their hashed
+    words come to the driver."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 parts = [[x[a:z].tobytes() for a, z in zip(first[:-1], first[1:])] for x in (known[number], times.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "label", "fold", "words", "times"])
 
-    rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary, times binary").toArrow()
+    rows = common.stored(labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary, times binary"), "sample")
+    own = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "words")
+    rows = rows.withColumn("n", F.sum(F.length("times") / 4).over(own.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("n") <= most_words).drop("n").toArrow()
     hashes, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("words", np.uint64), ("times", np.int32)))
     first = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("times")).to_numpy() // 4)]).astype(np.int64)
     label, fold, order = rows.column("label").to_numpy().copy(), rows.column("fold").to_numpy().copy(), np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
@@ -181,20 +191,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return fit(vocabulary, shared_backoff(continuation_counts(docs), vocabulary), words, times, first, label, fold, order)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``score`` (double) next to all columns of ``docs``; 0 without a model. Null texts are empty."""
+def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
+    """``column`` (double) next to all columns of ``docs``; 0 without a model. Null texts are empty."""
     names = docs.columns
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample's words, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for b in batches:
             for i, j, texts in common.byte_chunks(b.column(at), 1_000_000):
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(shared.value.score(texts))], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(shared.value.score(texts))], [*names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -205,11 +215,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``."""
-    names = docs.columns
-    clash = docs.withColumnRenamed("score", "fm_score") if "score" in names else docs
-    kept = score(clash, train(docs, labels)).filter(F.col("score") < threshold).drop("score")
-    return (kept.withColumnRenamed("fm_score", "score") if "score" in names else kept).select(*names)
+    """``docs`` without the rows whose score reaches ``threshold``.
+
+    Null and empty texts score as ordinary ones without evidence, repeated rows stay or go
+    together, all columns stay whatever their names; an empty table gives no rows, and
+    without labels of both classes every row stays."""
+    (column,) = common.free_names(docs, "score")
+    return score(docs, train(docs, labels), column).filter(F.col(column) < threshold).select(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
