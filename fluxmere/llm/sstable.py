@@ -136,6 +136,8 @@ class Writer:
             self.block = _Block()
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.id_bytes:
+            raise OverflowError(f"id {int(ids.max())} doesn't fit {self.id_bytes} bytes")
         self.block.add(key, ids.astype(f"<u{self.id_bytes}").tobytes())
         self.hashes.append(key)
         self.entries += 1
@@ -202,17 +204,19 @@ def _open(uri: str):
 MANIFEST = "part int, shard int, path string, entries long, ids long"
 
 
-def write_shards(docs: DataFrame, out: str, path: str | None = None, end_id: int | None = 1, shard_bytes: int = 64 << 20, id_bytes: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, out: str, path: str | None = None, end_id: int | None = 1, shard_bytes: int = 64 << 20, id_bytes: int | None = None) -> DataFrame:
     """Encode whole texts and write them as shards in ascending ``doc_id`` order.
 
     Rows are range-partitioned by ``doc_id`` and sorted within partitions; each partition
     writes one shard after another, cut at ``shard_bytes`` of ids. A shard is written under
     a name of its own per attempt and moved into place whole, so that a retried or
     speculative task leaves the same file. Null ids come first, null texts are empty,
-    repeated ids keep all their rows, ordered by text. An empty table gives no shards.
-    Returns the manifest: part, shard, path, entries, ids.
+    repeated ids keep all their rows, ordered by text. An empty table gives no shards. Ids
+    take 2 bytes each, or 4 if the vocabulary or ``end_id`` needs them; a given ``id_bytes``
+    that an id doesn't fit raises. Returns the manifest: part, shard, path, entries, ids.
     """
     path = path or tokens.default_path()
+    id_bytes = id_bytes or (2 if max(tokens.largest_id(path), end_id or 0) < 1 << 16 else 4)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, ctx = tokens.codec(path), TaskContext.get()

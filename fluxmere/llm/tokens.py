@@ -8,6 +8,7 @@ other blanks inside goes through the whole tokenizer like any odd one.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
@@ -26,6 +27,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def largest_id(path: str) -> int:
+    """The greatest id that the tokenizer file can give, added tokens included."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    vocabulary = whole["model"]["vocab"]
+    ids = vocabulary.values() if isinstance(vocabulary, dict) else range(len(vocabulary))
+    return max([0, *ids, *(t["id"] for t in whole.get("added_tokens") or [])])
+
+
 class WordCodec:
     """Ids of texts by ``tokenizers``, ``add_special_tokens=False``, as flat arrays."""
 
