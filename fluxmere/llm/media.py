@@ -605,6 +605,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text stored as a progressive file, read back and described. Repeated rows
-    are described each; null and empty texts are one unit of bytes 255."""
-    return media_features(text_media(common.documents(spark, sf_dir)))
+    """Every whole text stored as a progressive file in shared storage, read back and described.
+    Repeated rows are described each; null and empty texts are one unit of bytes 255."""
+    return media_features(common.stored(text_media(common.documents(spark, sf_dir)), "media"))
