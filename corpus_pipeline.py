@@ -14,27 +14,39 @@ from fluxmere.llm import common, mixing, near_dedup, packing, secret_ledger, tox
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.7."""
+    """Documents whose toxicity score stays below 0.7.
+
+    Null texts are empty and score as texts without evidence; repeated rows stay or go
+    together; an empty table gives no rows, and without labels of both classes all stay."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 85 %, the one of the least doc_id."""
+    """Of documents linked by five-word shingles at 85 %, the one of the least doc_id.
+
+    Texts without words and rows with null ids stay; rows equal in id and text stay once, rows
+    that repeat an id with another text go by their own text; no rows of none."""
     return near_dedup.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, found secrets replaced."""
+    """All documents, found secrets replaced; null and empty texts, repeated rows and all other
+    columns stay as they are, ``n_chars`` follows."""
     return secret_ledger.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents, parts of them and up to three copies, as their blocks were taken."""
+    """The mix: documents, parts of them and up to three copies, as their blocks were taken.
+
+    Null sources are a source; null and empty texts leave; repeated rows each have their own
+    place, ties by doc_id and size; no rows of none."""
     return mixing.mix_documents(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of at most 2048 ids."""
+    """Pieces of the mixed documents in sequences of at most 2048 ids.
+
+    A null or empty text is one end id; repeated rows are packed each; no rows of none."""
     return packing.pack_documents(docs)
 
 
