@@ -13,8 +13,8 @@ from models that have not seen the document.
 
 Words are told apart by 64-bit hashes. Continuation counts cover all documents, in a table
 in shared storage that grows with the vocabulary; class counts cover a bounded labelled
-sample. Only the words of the sample are joined to the table: the ratio of a word outside
-the sample is the same whatever its continuation count.
+sample and are joined to it: the ratio of a word outside the sample is 0 whatever its
+continuation count.
 """
 
 from __future__ import annotations
@@ -77,45 +77,33 @@ def continuation_counts(docs: DataFrame) -> DataFrame:
     return common.stored(rows.groupBy("word").agg(F.sum("n").alias("n")), "continuation")
 
 
-def shared_backoff(counts: DataFrame, words: np.ndarray) -> np.ndarray:
-    """Probabilities of ``words`` by their continuation counts, 0.1 added for each word of the
-    corpus; only these words' counts come to the driver."""
-    every, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n = np.zeros(len(words))
-    if len(words):
-        wanted = counts.sparkSession.createDataFrame(pa.table({"word": words.view(np.int64), "at": np.arange(len(words))}))
-        rows = counts.join(wanted, "word").select("at", "n").toArrow()
-        n[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return (n + 0.1) / max(0.1, total + 0.1 * every)
-
-
 class Model:
-    """log P(word | toxic) - log P(word | ordinary) of the sample's words (sorted hashes), last that
-    of any other word, and the curve on top."""
+    """log P(word | toxic) - log P(word | ordinary) of the words (sorted hashes) for which it isn't 0,
+    and the curve on top."""
 
     def __init__(self, words: np.ndarray, ratio: np.ndarray, weights: np.ndarray, scale: float):
-        self.words, self.ratio, self.weights, self.scale = words, ratio.astype(np.float32), weights, scale
+        self.words, self.ratio, self.weights, self.scale = words, np.append(ratio, 0).astype(np.float32), weights, scale
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        words, number, times, first = _distinct(texts)
+    def places(self, words: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.words, words)
         known = at < len(self.words)
         known[known] = self.words[at[known]] == words[known]
         at[~known] = len(self.words)
-        return _curve(_mean_ratio(self.ratio, at[number], times, first) / self.scale, self.weights)
+        return at
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        words, number, times, first = _distinct(texts)
+        return _curve(_mean_ratio(self.ratio, self.places(words)[number], times, first) / self.scale, self.weights)
 
 
-def _ratio(counts: np.ndarray, shared: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Of each word, given both classes' counts and numbers of documents; last that of a word that
-    neither class has, 0."""
-    logs = []
-    for c in counts:
-        logs.append(np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(1, np.count_nonzero(c)) * shared) / max(1.0, c.sum())))
+def _ratio(counts: np.ndarray, shared: np.ndarray, documents: np.ndarray, types: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Of each word, given by both classes how many of its documents hold the word, and by the classes'
+    numbers of documents, of distinct words, and of words a document in all."""
+    logs = [np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(1, t) * shared) / max(1.0, n)) for c, t, n in zip(counts, types, totals)]
     n = np.maximum(documents, 1)
     p = (counts.sum(0) + 0.5) / (n.sum() + 1)
     z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-    trust = np.maximum(0, 1 - (SURE / np.maximum(np.abs(z), 1e-9)) ** 2)
-    return np.append((logs[1] - logs[0]) * trust, 0).astype(np.float32)
+    return (logs[1] - logs[0]) * np.maximum(0, 1 - (SURE / np.maximum(np.abs(z), 1e-9)) ** 2)
 
 
 def _mean_ratio(ratio: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -133,38 +121,20 @@ def _curve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x * w[0] + w[1], -30, 30)))
 
 
-def fit(vocabulary: np.ndarray, shared: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray, label: np.ndarray, fold: np.ndarray, order: np.ndarray) -> Model | None:
-    """``words`` are numbers into ``vocabulary``. None if a class has no rows. Two folds score each other to fit the curve, which sums over
-    texts in ``order``, so that a model doesn't depend on how rows arrive."""
-    if len(np.unique(label)) < 2:
-        return None
-    owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(first))
-
-    def counts(rows: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(words[(rows & (label == v))[owner]], minlength=len(vocabulary)).astype(np.float64) for v in (0, 1)])
-
-    def ratio(rows: np.ndarray) -> np.ndarray:
-        return _ratio(counts(rows), shared, np.array([(rows & (label == v)).sum() for v in (0, 1)]))
-
-    every = ratio(np.ones(len(label), bool))
-    x = np.zeros(len(label))
-    for f in (0, 1):
-        rows = fold == f
-        if rows.any():
-            x[rows] = _mean_ratio(ratio(~rows), words, times, first)[rows]
-    x, label = x[order], label[order]
+def fit_curve(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and scale of the logistic curve."""
     scale = max(float(x.std()), 1e-6)
     z, w = np.stack([x / scale, np.ones(len(x))], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - label) + 1e-2 * w)
-    return Model(vocabulary, every, w, scale)
+    return w, scale
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_words: int = SAMPLE_WORDS) -> Model | None:
-    """Fit on at most ``sample`` labelled rows of each class, in the order of their ids' hashes, as
-    long as they have at most ``most_words`` distinct words in all (12 bytes each); their hashed
-    words come to the driver."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_words: int = SAMPLE_WORDS) -> DataFrame:
+    """doc_id, label, fold, words, times (distinct hashed words of a text and how often each stands
+    there) of at most ``sample`` labelled rows of each class, in the order of their ids' hashes, as
+    long as they have at most ``most_words`` distinct words a document in all; in shared storage."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,22 +143,83 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_words:
                 parts = [[x[a:z].tobytes() for a, z in zip(first[:-1], first[1:])] for x in (known[number], times.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "label", "fold", "words", "times"])
 
-    rows = common.stored(labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary, times binary"), "sample")
-    own = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "words")
-    rows = rows.withColumn("n", F.sum(F.length("times") / 4).over(own.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("n") <= most_words).drop("n").toArrow()
-    hashes, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("words", np.uint64), ("times", np.int32)))
-    first = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("times")).to_numpy() // 4)]).astype(np.int64)
-    label, fold, order = rows.column("label").to_numpy().copy(), rows.column("fold").to_numpy().copy(), np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    del rows
-    pa.default_memory_pool().release_unused()
-    if len(np.unique(label)) < 2:
+    rows = common.stored(labelled_sample(docs, labels, "toxic", sample).mapInArrow(places, "doc_id long, label int, fold int, words binary, times binary"), "labelled")
+    own = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", "label", (F.length("times") / 4).cast("long").alias("size"))
+    # the window holds sizes only; rows that repeat an id go together
+    most = sizes.withColumn("n", F.sum("size").over(own)).groupBy("doc_id").agg(F.max("n").alias("n")).filter(F.col("n") <= most_words).select("doc_id")
+    out = common.stored(rows.join(F.broadcast(most), "doc_id"), "sample")  # at most 2 * sample ids
+    common.discard(rows)
+    return out
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
+    """word, c0 to c3: how many documents of each label and fold (2 * label + fold) hold the word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = b.column(0).to_numpy() * 2 + b.column(1).to_numpy()
+            for i, j in common.chunks(pc.binary_length(b.column(2)).to_pylist(), 8_000_000):
+                part = b.column(2).slice(i, j - i)
+                words, number = np.unique(np.frombuffer(b"".join(part.to_pylist()), np.int64), return_inverse=True)
+                own = np.repeat(cell[i:j], pc.binary_length(part).to_numpy() // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(words), *(pa.array(np.bincount(number[own == c], minlength=len(words)).astype(np.int64)) for c in range(4))], ["word", "c0", "c1", "c2", "c3"])
+
+    counted = rows.select("label", "fold", "words").mapInArrow(count, "word long, c0 long, c1 long, c2 long, c3 long")
+    return counted.groupBy("word").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(4)))
+
+
+#: For which documents a model is: all, or those of one fold, from the other fold's counts.
+MODELS = {"every": ("c0 + c1", "c2 + c3"), "fold0": ("c1", "c3"), "fold1": ("c0", "c2")}
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_words: int = SAMPLE_WORDS) -> Model | None:
+    """A model, None if a class has no rows. Counts are made on the executors; to the driver come
+    words whose ratio isn't 0, which some standard errors, so several documents of the sample,
+    must speak for, and a number for each row of the sample."""
+    rows = sampled(docs, labels, sample, most_words)
+    size = [0] * 4
+    for r in rows.groupBy("label", "fold").agg(F.count("*").alias("n")).collect():
+        size[2 * r.label + r.fold] = r.n
+    if not (size[0] + size[1] and size[2] + size[3]):
         return None
-    vocabulary = np.unique(hashes)
-    words = np.empty(len(hashes), np.int32)
-    for i in range(0, len(hashes), 1_000_000):
-        words[i : i + 1_000_000] = np.searchsorted(vocabulary, hashes[i : i + 1_000_000])
-    del hashes
-    return fit(vocabulary, shared_backoff(continuation_counts(docs), vocabulary), words, times, first, label, fold, order)
+    backoff = continuation_counts(docs)
+    table = common.stored(class_counts(rows).join(backoff.hint("merge"), "word"), "class-counts")
+    sums_of = [(c, kind) for pair in MODELS.values() for c in pair for kind in ("types", "totals")]
+    known = table.agg(*((F.count(F.when(F.expr(c) > 0, 1)) if kind == "types" else F.coalesce(F.sum(F.expr(c)), F.lit(0))).alias(f"s{i}") for i, (c, kind) in enumerate(sums_of))).first()
+    known = np.array(known, np.float64).reshape(3, 2, 2)
+    documents = np.array([[size[0] + size[1], size[2] + size[3]], [size[1], size[3]], [size[0], size[2]]], np.float64)
+    every, total = backoff.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared = (b.column(1).to_numpy() + 0.1) / (total + 0.1 * every)
+            r = np.stack([_ratio(np.stack([b.column(2 + 2 * k + v).to_numpy().astype(np.float64) for v in (0, 1)]), shared, documents[k], known[k, :, 0], known[k, :, 1]) for k in range(3)])
+            some = np.flatnonzero((r != 0).any(0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), *(pa.array(x[some]) for x in r)], ["word", *MODELS])
+
+    cells = [F.expr(c).alias(f"{m}{v}") for m, pair in MODELS.items() for v, c in enumerate(pair)]
+    found = table.select("word", "n", *cells).mapInArrow(ratios, "word long, every double, fold0 double, fold1 double").toArrow()
+    words = found.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words = words[order]
+    every_ratio, *fold_ratio = (found.column(m).to_numpy()[order] for m in MODELS)
+    others = docs.sparkSession.sparkContext.broadcast([Model(words, r, np.zeros(2), 1.0) for r in fold_ratio])  # words of the sample only
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for fold, own, times in zip(*(b.column(c).to_pylist() for c in (2, 3, 4))):
+                m, times = others.value[fold], np.frombuffer(times, np.int32)
+                got.append(_mean_ratio(m.ratio, m.places(np.frombuffer(own, np.uint64)), times, np.array([0, len(times)]))[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], ["doc_id", "label", "x"])
+
+    points = rows.select("doc_id", "label", "fold", "words", "times").mapInArrow(means, "doc_id long, label int, x double").toArrow()
+    x, label = points.column("x").to_numpy(), points.column("label").to_numpy()
+    order = np.lexsort((x, points.column("doc_id").to_numpy()))  # however rows arrive
+    for done in (table, backoff, rows):
+        common.discard(done)
+    return Model(words, every_ratio, *fit_curve(x[order], label[order]))
 
 
 def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
