@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
 import zlib
@@ -163,6 +164,50 @@ def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     assert len(got[1][0].spans) == 1 and len(got[7][0].spans) == 1 and got[8][0].spans == []
 
 
+def test_ledger_goes_by_rule_version(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, "token=abcdefg 0123456789abcdef0123456789abcdef"), (2, "plain"), (3, "plain")], "doc_id long, text string")
+    rules = secret_ledger.RULES
+    spans = lambda rules: {r.doc_id: [tuple(s) for s in r.spans] for r in secret_ledger.findings(docs, path, rules).collect()}
+    secret_ledger.update(docs, path, rules)
+    assert spans(rules) == {1: [(0, 0, 13), (14, 2, 46)], 2: [], 3: []}
+    # in another order, and only some
+    assert spans((rules[2], rules[0])) == {1: [(0, 1, 13), (14, 0, 46)], 2: [], 3: []}
+    # a version that finds nothing, and one that finds more
+    none = secret_ledger.Rule("assign", 2, "no such thing")
+    secret_ledger.update(docs, path, (none, *rules[1:]))
+    assert spans((none, *rules[1:])) == {1: [(14, 2, 46)], 2: [], 3: []}
+    assert spans(rules) == {1: [(0, 0, 13), (14, 2, 46)], 2: [], 3: []}
+    plain = secret_ledger.Rule("assign", 3, "plain|token")
+    secret_ledger.update(docs, path, (plain,))
+    assert spans((plain,)) == {1: [(0, 0, 5)], 2: [(0, 0, 5)], 3: [(0, 0, 5)]}
+    # a job that appends what another one did
+    secret_ledger.read(spark, path).coalesce(1).write.mode("append").parquet(path + "2")
+    secret_ledger.read(spark, path).coalesce(1).write.mode("append").parquet(path + "2")
+    path += "2"
+    assert spans(rules) == {1: [(0, 0, 13), (14, 2, 46)], 2: [], 3: []}
+
+
+def test_private_keys_go_whole(spark):
+    body = "\n".join("Ab3/" * 16 for _ in range(20))
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"a {head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{tail} b"), (2, f"{head}\n{body}\nplain words follow"), (3, f"the line {head} starts a key. So"), (4, f"{head}\n{body}\n{tail}{head}")]
+    got = {r.doc_id: r.text for r in secret_ledger.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "a [secret] b", 2: "[secret]\nplain words follow", 3: "the line [secret] starts a key. So", 4: "[secret][secret]"}
+
+
+def test_clashing_names_stay_apart(spark, labels):
+    from fluxmere.llm import common
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, fm_blob string, fm_spans int, fm_size string, fm_key int, FM_score string, Score int, fm_of_text int, fm_id int, fm_cuts int, size int, label int, node int"
+    rows = [(i, f"token=abcdefg{i} " + "word " * i, "en", "s", 9, "b", 1, "z", 2, "q", 3, 4, 5, 6, 7, 8, 9) for i in range(12)]
+    docs = spark.createDataFrame(rows, kinds)
+    assert common.free_names(docs, "score", "blob", "free", "free") == ["fm_score_1", "fm_blob_1", "fm_free", "fm_free_1"]
+    for out in (secret_ledger.redact(docs), mixing.mix_documents(docs), toxicity.drop_toxic(docs, labels), near_dedup.keep_one(docs)):
+        assert out.columns == docs.columns and out.count() > 0
+        assert {tuple(r)[5:] for r in out.collect()} == {rows[0][5:]}
+
+
 def test_secrets_plan_is_native(spark):
     df = secret_ledger.scan(spark.createDataFrame([(1, "token=abcdefg")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -350,6 +395,26 @@ def test_shards_meet_every_source_together():
         assert counts.sum(1).tolist() == [total * (j + 1) // shards - total * j // shards for j in range(shards)]
 
 
+def test_parts_are_draws_without_replacement():
+    rng = np.random.default_rng(5)
+    slots = np.array([4, 0, 3, 2])
+    got = Counter(tuple(mixing.draw_part(rng, slots, 4).tolist()) for _ in range(20_000))
+    ways = {p: math.prod(math.comb(int(n), k) for n, k in zip(slots, p)) / math.comb(9, 4) for p in itertools.product(range(5), [0], range(4), range(3)) if sum(p) == 4}
+    assert set(got) == set(ways)
+    assert all(abs(got[p] / 20_000 - q) < 0.015 for p, q in ways.items())
+    assert mixing.draw_part(rng, np.array([0, 0]), 0).tolist() == [0, 0] and mixing.draw_part(rng, slots, 9).tolist() == slots.tolist()
+
+
+def test_shards_of_many_slots_are_drawn_alike():
+    """Beyond 2**31 slots as below: conserved, near the expectation, and never just rounded shares."""
+    for scale in (10**4, 10**10):
+        slots = np.array([7, 2, 1]) * scale
+        parts = np.stack([mixing.draw_counts(slots, 16, j, 3) for j in range(16)])
+        assert parts.sum(0).tolist() == slots.tolist()
+        off = (parts - slots / 16) / np.sqrt(slots * (1 / 16) * (15 / 16))
+        assert 0.5 < off.std() < 1.6 and np.abs(off).max() < 5
+
+
 def test_mix(awkward):
     got = mixing.mix_counts(awkward, block=4).collect()
     want = [(i, s, len(re.findall(BLANKS, t or ""))) for i, t, s in awkward.select("doc_id", "text", "source").collect()]
@@ -410,6 +475,29 @@ def test_mild_and_ordinary_words_count(spark):
     assert grim > neutral > kind and grim > grim_kind
 
 
+def test_ratio_against_plain_python():
+    counts, shared, documents = np.array([[30.0, 2, 0, 9], [28.0, 20, 1, 9]]), np.array([0.5, 0.2, 0.01, 0.29]), np.array([40, 30])
+    got = toxicity._ratio(counts, shared, documents, (counts > 0).sum(1), counts.sum(1)).tolist()
+    for w in range(4):
+        p = [(max(c[w] - 0.9, 0) + 0.9 * sum(x > 0 for x in c) * shared[w]) / sum(c) for c in counts]
+        both = (counts[0][w] + counts[1][w] + 0.5) / 71
+        z = (counts[1][w] / 30 - counts[0][w] / 40) / math.sqrt(both * (1 - both) * (1 / 40 + 1 / 30))
+        assert abs(got[w] - math.log(p[1] / p[0]) * max(0, 1 - 9 / z**2)) < 1e-5
+    assert got[1] > 1 and got[2] == 0
+    for c in counts:  # the smoothed probabilities of a class add up to one
+        assert abs(sum((max(x - 0.9, 0) + 0.9 * sum(y > 0 for y in c) * q) / sum(c) for x, q in zip(c, shared)) - (sum(c) - 0.9 * sum(y > 0 for y in c) + 0.9 * sum(y > 0 for y in c)) / sum(c)) < 1e-9
+
+
+def test_sample_is_bounded_in_words(spark):
+    docs = spark.createDataFrame([(i, " ".join("w" + str(100 * i + k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(50)) + (" vile" if i % 2 else " fine")) for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    few, every = (toxicity.sampled(docs, marks, most_words=n) for n in (500, 10**6))
+    assert every.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    assert sorted((r.label, r["count"]) for r in few.groupBy("label").count().collect()) == [(0, 9), (1, 9)]
+    a, b = (toxicity.train(docs, marks, most_words=n) for n in (500, 10**6))
+    assert a.score([b"vile"])[0] > a.score([b"fine"])[0] and len(a.words) == len(b.words) == 2
+
+
 def test_continuation_counts_have_no_cap(spark):
     """More words than 2**20: each has its own row and count."""
     docs = spark.range(60).selectExpr("id AS doc_id", "concat('every every ', array_join(transform(sequence(id * 20000, id * 20000 + 19999), x -> translate(cast(x AS string), '0123456789', 'abcdefghij')), ' ')) AS text")
@@ -490,6 +578,17 @@ def test_anchors_of_long_texts_cover_every_window(monkeypatch):
 # --- 8 fingerprints ----------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("step", [1, 37, 1000, 4800, 4801, 4802, 9000])
+def test_anchors_of_pieces_cover_every_window_once(step):
+    text = bytes(random.Random(4).choice(b"abcd ") for _ in range(3000)) + b"same again " * 182
+    text = text[:5000]
+    whole = {}
+    for a, lo, hi in zip(*(c.tolist() for c in (repeats.anchors([text])[i] for i in (0, 3, 4)))):
+        whole |= dict.fromkeys(range(lo, hi + 1), a)
+    got = [(i, a) for part in repeats.anchors_of(text, step) for a, lo, hi in zip(*(part[k].tolist() for k in (0, 3, 4))) for i in range(lo, hi + 1)]
+    assert dict(got) == whole and len(got) == len(whole) == 4801
+
+
 def test_long_text_after_an_empty_one(spark):
     """Places past 2**24 of a text that shares its chunk with an empty one."""
     long = np.random.default_rng(8).integers(97, 123, 20_000_000, dtype=np.uint8).tobytes().decode()
@@ -497,6 +596,14 @@ def test_long_text_after_an_empty_one(spark):
     assert {r.doc_id: r.n_removed for r in repeats.repeat_digests(docs).collect()} == {0: 0, 1: 300_000, 2: 300_000}
 
 
+def test_runs_are_merged_by_binary_search():
+    rng = np.random.default_rng(2)
+    runs = [np.sort(rng.integers(0, 50, n).astype(np.uint64)) for n in (0, 7, 100, 1, 33)]
+    keys, at = repeats.merged_runs(runs)
+    joined = np.concatenate(runs)
+    assert (keys == np.sort(joined)).all() and (joined[at] == keys).all() and sorted(at.tolist()) == list(range(len(joined)))
+
+
 def test_fingerprints_are_homomorphic():
     p = [b"a b c", b"d e f", b"", b"x", b"a b c"]
     whole = multiset_hash.fingerprints([b"\n".join(p)])
@@ -620,6 +727,24 @@ class _Sized(io.BytesIO):
         return len(self.getvalue())
 
 
+def test_ids_that_do_not_fit_are_never_cut():
+    sink = io.BytesIO()
+    with pytest.raises(OverflowError):
+        sstable.Writer(sink, id_bytes=2).add(sstable.key_of(1), np.array([70_000], np.uint32))
+    w = sstable.Writer(sink, id_bytes=4)
+    w.add(sstable.key_of(1), np.array([70_000], np.uint32))
+    w.close()
+    assert sstable.Reader(_Sized(sink.getvalue())).get(sstable.key_of(1)).tolist() == [70_000]
+    assert tokens.largest_id(tokens.default_path()) < 1 << 16
+
+
+def test_wide_end_id_widens_the_table(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a word"), (2, None)], "doc_id long, text string")
+    manifest = sstable.write_shards(docs, f"file://{tmp_path}/wide", end_id=70_000).cache()
+    got = {r.doc_id: r.ids for r in sstable.lookup(manifest, docs.select("doc_id")).collect()}
+    assert got[2] == [70_000] and got[1][-1] == 70_000
+
+
 def test_tables_on_spark(spark, awkward, tmp_path):
     out = f"file://{tmp_path}/sst"
     manifest = sstable.write_shards(awkward, out, shard_bytes=20_000).cache()
