@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.epochs import EPOCH, with_epoch
+from ..storage import cut, file_system
 
 
 def from_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
@@ -75,6 +76,34 @@ def write_custom(df: DataFrame, path: str, encode: Callable[[pd.DataFrame], byte
     df.mapInPandas(run, "content binary").write.mode("overwrite").parquet(path)
 
 
+def write_custom_files(df: DataFrame, path: str, encode: Callable[[pd.DataFrame], bytes]) -> None:
+    """Files of a format of one's own, which ``read_custom`` reads: one a partition with rows, the
+    batches' bytes one after another, moved into place whole. What is at ``path`` goes."""
+    columns = [c for c in df.columns if c != EPOCH]
+    where, folder = file_system(df.sparkSession, path)
+    where.delete(folder, True)
+    where.mkdirs(folder)
+    uri = str(where.makeQualified(folder))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        files, base = fs.FileSystem.from_uri(uri)
+        name, held = f"part-{ctx.partitionId():06d}.bin", None
+        for b in batches:
+            if len(b):
+                held = held or files.open_output_stream(f"{base}/_{name}.{ctx.taskAttemptId()}")
+                held.write(encode(b[columns]))
+        if held:
+            held.close()
+            files.move(f"{base}/_{name}.{ctx.taskAttemptId()}", f"{base}/{name}")
+        yield pd.DataFrame({"done": [held is not None]})
+
+    df.mapInPandas(run, "done boolean").write.format("noop").mode("overwrite").save()
+
+
 def pack_longs(rows: pd.DataFrame) -> bytes:
     """Fixed-width little-endian records of integer columns."""
     flat = rows.astype("int64").to_numpy().reshape(-1)
@@ -137,16 +166,25 @@ class StreamingInput:
 
 
 def write_by_epoch(df: DataFrame, path: str, text: str | None = None, max_records: int = 0) -> DataFrame:
-    """Files under ``epoch=<n>`` folders, written over; returns the (epoch, uri) of those with rows.
+    """Files under ``epoch=<n>`` folders; returns the (epoch, uri) of those that this call wrote.
+
+    Epochs that ``df`` has are written over, those written before stay, so that epochs can be
+    written as they close. ``text`` names a column to write as lines; otherwise Parquet.
+    Files are cut at ``max_records``. The list of files comes to the driver."""
+    spark = df.sparkSession
+    fs, folder = file_system(spark, path)
 
-    ``text`` names a column to write as lines; otherwise Parquet. Files are cut at ``max_records``."""
-    w = (df.select(text, EPOCH) if text else df).write.mode("overwrite").partitionBy(EPOCH)
+    def files() -> set[str]:
+        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{EPOCH}=*/part-*")) if fs.exists(folder) else None
+        return {str(f.getPath()) for f in found or ()}
+
+    before = files()
+    w = (df.select(text, EPOCH) if text else df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(EPOCH)
     if max_records:
         w = w.option("maxRecordsPerFile", max_records)
     (w.text if text else w.parquet)(path)
-    spark = df.sparkSession
-    back = spark.read.text(path) if text else spark.read.parquet(path)
-    return back.select(F.col(EPOCH), F.input_file_name().alias("uri")).distinct()
+    own = sorted(files() - before)
+    return spark.createDataFrame([(int(f.split(f"/{EPOCH}=")[-1].split("/")[0]), f) for f in own], f"{EPOCH} int, uri string")
 
 
 def write_parts(df: DataFrame, path: str, max_records: int, text: str | None = None) -> None:
@@ -158,6 +196,7 @@ def write_parts(df: DataFrame, path: str, max_records: int, text: str | None = N
 def subscribe(df: DataFrame, action: Callable[[int, list], None]) -> None:
     """``action(epoch, rows)`` on the driver for each epoch in order: a client-side sink that
     holds one epoch at a time."""
+    df = cut(df)
     for (e,) in df.select(EPOCH).distinct().orderBy(EPOCH).collect():
         action(e, df.filter(F.col(EPOCH) == e).collect())
 
@@ -185,8 +224,6 @@ class Shared:
     """A table that one query hands to others: written once when sealed, read by any number."""
 
     def __init__(self, df: DataFrame):
-        from ..storage import cut
-
         self.table = cut(df)
 
     def read(self) -> DataFrame:
