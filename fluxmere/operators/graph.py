@@ -147,6 +147,26 @@ def state_machine_stream(values: DataFrame, order: str, default, transition: Cal
     return rows.mapInPandas(run, f"node {values.schema['node'].dataType.simpleString()}, {order} {kind}, value {value_type}")
 
 
+def state_machine_outputs(values: DataFrame, order: str, default, transition: Callable, out_type: str = "long") -> DataFrame:
+    """(node, order, out): an output for every input, of a plain Python ``transition(value, state)``
+    that gives the new state and the output. Rows stream by as in ``state_machine_stream``."""
+    kind = values.schema[order].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, state, begun = None, default, False
+        for b in batches:
+            out = []
+            for n, o, v in zip(b["node"].tolist(), b["o"].tolist(), b["v"].tolist()):
+                if not begun or n != node:
+                    node, state, begun = n, default, True
+                state, x = transition(v, state)
+                out.append((n, o, x))
+            yield pd.DataFrame(out, columns=["node", order, "out"])
+
+    rows = values.select("node", F.col(order).alias("o"), F.col("value").alias("v")).repartition("node").sortWithinPartitions("node", "o")
+    return rows.mapInPandas(run, f"node {values.schema['node'].dataType.simpleString()}, {order} {kind}, out {out_type}")
+
+
 def state_changes(values: DataFrame, order: str, default: Column, transition: Callable[[Column, Column], Column]) -> DataFrame:
     """(node, order, value): each state that differs from the one before it."""
     lists = values.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("value").alias("v")))).alias("vs"))

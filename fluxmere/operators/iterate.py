@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +45,25 @@ def leaving(results: list[DataFrame], first: int = 0) -> DataFrame:
     return out
 
 
-def until_quiet(state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], value: str, keep: Callable = F.least) -> DataFrame:
+def until_quiet(state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], value: str, keep: Callable = F.least, hops: int = 1) -> DataFrame:
     """Semi-naive evaluation of a monotone query over (keys, value): ``step(delta, state)``
-    proposes values; only rows that improve their key's value go into the next round."""
+    proposes values; only rows that improve their key's value go into the next round.
+
+    A round takes ``hops`` steps, each from what the one before it proposed, and compares all
+    proposals with the state at once: the state is written once for that many steps."""
     f = F.min if keep is F.least else F.max
     state = storage.cut(state.groupBy(*keys).agg(f(value).alias(value)))
-    delta = state
+    delta, before = state, None
     while True:
-        proposed = step(delta, state).groupBy(*keys).agg(f(value).alias("new"))
+        parts = [step(delta, state).groupBy(*keys).agg(f(value).alias(value))]
+        for _ in range(hops - 1):
+            parts.append(step(parts[-1], state).groupBy(*keys).agg(f(value).alias(value)))
+        proposed = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(f(value).alias("new"))
         joined = state.join(proposed, keys, "full")
         better = F.col("new").isNotNull() & (F.col(value).isNull() | (keep(F.col(value), F.col("new")) != F.col(value)))
         joined = storage.cut(joined.select(*keys, F.when(better, F.col("new")).otherwise(F.col(value)).alias(value), better.alias("better")))
-        state, delta = joined.drop("better"), joined.filter("better").drop("better")
+        if before is not None:
+            storage.drop(before)
+        before, state, delta = joined, joined.drop("better"), joined.filter("better").drop("better")
         if delta.isEmpty():
             return state

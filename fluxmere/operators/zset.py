@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -84,8 +84,9 @@ class Collection:
         for (e,) in rows.select(EPOCH).distinct().orderBy(EPOCH).collect():
             action(e, rows.filter(F.col(EPOCH) == e).drop(EPOCH).collect())
 
-    def monitor(self, name: str = "monitor") -> Collection:
-        """Counts of records and weights are observed as the data pass."""
+    def monitor(self, name: str | Observation = "monitor") -> Collection:
+        """Counts of records and weights are observed as the data pass, by a name for listeners or an
+        ``Observation`` to ask."""
         return Collection(self.df.observe(name, F.count("*").alias("records"), F.sum(WEIGHT).alias("weight")))
 
     # --- linear ---------------------------------------------------------------------------
@@ -99,6 +100,10 @@ class Collection:
     def select_many(self, array: Column, name: str, *keep: str) -> Collection:
         return Collection(self.df.select(*keep, F.explode(array).alias(name), WEIGHT, EPOCH))
 
+    def select_many_segments(self, segments: Column, name: str, *keep: str) -> Collection:
+        """As ``select_many`` for a function that gives a list of segments: all their elements."""
+        return self.select_many(F.flatten(segments), name, *keep)
+
     def concat(self, other: Collection) -> Collection:
         return Collection(self.df.unionByName(other.df))
 
@@ -229,8 +234,16 @@ class Collection:
         """Contents with positive weight of each key at each epoch in which the key changes."""
         when = self.df.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col(EPOCH).alias("now")).distinct()
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys])
-        rows = self.df.join(when, same & (F.col(EPOCH) <= F.col("now")))
-        return rows.groupBy(*self.record, F.col("now").alias(EPOCH)).agg(F.sum(WEIGHT).alias(WEIGHT)).filter(F.col(WEIGHT) > 0)
+        holds = (F.col("now") >= F.col(EPOCH)) & (F.col("until").isNull() | (F.col("now") < F.col("until")))
+        return self.spans().join(when, same & holds).select(*self.record, F.col("now").alias(EPOCH), WEIGHT)
+
+    def spans(self) -> DataFrame:
+        """Records with a positive weight, from ``epoch`` to before ``until`` (null: for good): one
+        shuffle by record, and a row per change, however many epochs there are."""
+        per = self.df.groupBy(*self.record, EPOCH).agg(F.sum(WEIGHT).alias(WEIGHT))
+        w = Window.partitionBy(*self.record).orderBy(EPOCH)
+        rows = per.select(*self.record, EPOCH, F.sum(WEIGHT).over(w).alias(WEIGHT), F.lead(EPOCH).over(w).alias("until"))
+        return rows.filter(F.col(WEIGHT) > 0)
 
     def min(self, keys: Sequence[str], by: Column) -> Collection:
         """The record of least ``by`` per key (ties: the least record), with weight 1."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..operators import graph, iterate
-from ..operators.zset import Collection
+from ..operators.zset import EPOCH, WEIGHT, Collection
 
 
 def words(df: DataFrame, column: str = "text", *keep: str) -> DataFrame:
@@ -59,11 +61,35 @@ def connected_components(edges: DataFrame, greatest: bool = False) -> DataFrame:
     return labels.select((F.col("node") * sign).alias("node"), (F.coalesce("v", "node") * sign).alias("label"))
 
 
+def component_changes(edges: Collection) -> Collection:
+    """(node, label) of the components of a collection of edges (source, target), as they change:
+    label the least node of the component, at every epoch at which an edge changes.
+
+    The graphs of all epochs are labelled together, as one graph whose nodes are told apart
+    by epoch: as many rounds as one graph takes, and work in proportion to the edges of all
+    epochs. Nodes are numbers from 0 on; the epochs are listed on the driver."""
+    spans = storage.cut(edges.spans())
+    epochs = [r[0] for r in edges.df.select(EPOCH).distinct().orderBy(EPOCH).collect()]
+    if not epochs:
+        return Collection(edges.df.select(F.col("source").alias("node"), F.col("target").alias("label"), WEIGHT, EPOCH))
+    span = (spans.agg(F.max(F.greatest("source", "target"))).first()[0] or 0) + 1
+    at = F.explode(F.filter(F.array(*map(F.lit, epochs)), lambda e: (e >= F.col(EPOCH)) & (F.col("until").isNull() | (e < F.col("until")))))
+    place = F.array_position(F.array(*map(F.lit, epochs)), F.col("at")) - 1
+    tagged = spans.select("source", "target", at.alias("at")).select((place * span + F.col("source")).alias("source"), (place * span + F.col("target")).alias("target"))
+    labels = storage.cut(connected_components(tagged))
+    no = F.floor(F.col("node") / span).cast("int")
+    now = labels.select(F.pmod("node", F.lit(span)).alias("node"), F.pmod("label", F.lit(span)).alias("label"), no.alias("no"))
+    known = F.array(*map(F.lit, epochs))
+    plus = now.select("node", "label", F.lit(1).cast("long").alias(WEIGHT), F.get(known, F.col("no")).alias(EPOCH))
+    minus = now.filter(F.col("no") < len(epochs) - 1).select("node", "label", F.lit(-1).cast("long").alias(WEIGHT), F.get(known, F.col("no") + 1).alias(EPOCH))
+    return Collection(plus.unionByName(minus)).consolidate()
+
+
 def label_propagation(edges: DataFrame, greatest: bool = True) -> DataFrame:
     """(node, label): the greatest (or least) node that reaches each node along edges."""
     start = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct().withColumn("value", F.col("node"))
     keep = F.greatest if greatest else F.least
-    out = iterate.until_quiet(start, lambda delta, _: graph.transmit_along(delta, edges), ["node"], "value", keep)
+    out = iterate.until_quiet(start, lambda delta, _: graph.transmit_along(delta, edges), ["node"], "value", keep, hops=3)
     return out.withColumnRenamed("value", "label")
 
 
@@ -102,11 +128,15 @@ def pagerank(edges: DataFrame, iterations: int = 10, reset: float = 0.15, dampin
 
 
 def trim_leaves(edges: DataFrame) -> DataFrame:
-    """Edges that remain when those into nodes without an edge out are taken away, over and over."""
+    """Edges that remain when those into nodes without an edge out are taken away, over and over,
+    three times between one count and the next."""
     e, n = storage.cut(edges.select("source", "target").distinct()), -1
     while (m := e.count()) != n:
-        n = m
-        e = storage.cut(e.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi"))
+        n, last = m, e
+        for _ in range(3):
+            e = e.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        e = storage.cut(e.select("source", "target"))
+        storage.drop(last)
     return e
 
 
@@ -116,7 +146,7 @@ def flip(edges: DataFrame) -> DataFrame:
 
 def _least_label(edges: DataFrame) -> DataFrame:
     start = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct().withColumn("value", F.col("node"))
-    return iterate.until_quiet(start, lambda delta, _: graph.transmit_along(delta, edges), ["node"], "value", F.least)
+    return iterate.until_quiet(start, lambda delta, _: graph.transmit_along(delta, edges), ["node"], "value", F.least, hops=3)
 
 
 def scc_edges(edges: DataFrame) -> DataFrame:
@@ -147,21 +177,23 @@ UNSET = 2**31 - 1
 def colour(edges: DataFrame) -> DataFrame:
     """(node, colour): each node takes the least colour that no lower-numbered neighbour has.
 
-    Not monotone, so rounds recompute: a node is settled once all its lower neighbours are,
-    and only settled nodes' neighbours are looked at again."""
+    A node is settled once all its lower neighbours are. A round looks at the pairs of open
+    nodes only, and at the colours that the round before it has set."""
     pairs = edges.filter("source <> target").select(F.greatest("source", "target").alias("node"), F.least("source", "target").alias("lower")).distinct()
-    pairs = storage.cut(pairs)
-    nodes = pairs.select("node").unionByName(pairs.select(F.col("lower").alias("node"))).distinct()
-    lowest = storage.cut(nodes.join(pairs.select("node").distinct(), "node", "left_anti").withColumn("colour", F.lit(0)))
-    settled, n = lowest, -1
-    while (m := settled.count()) != n:
-        n = m
-        known = pairs.join(settled.select(F.col("node").alias("lower"), "colour"), "lower", "left").join(settled.select("node"), "node", "left_anti")
-        ready = known.groupBy("node").agg(F.count("*").alias("all"), F.count("colour").alias("set"), F.sort_array(F.collect_set("colour")).alias("used")).filter(F.col("all") == F.col("set"))
-        # the first place where the sorted used colours leave a gap
-        free = F.aggregate("used", F.lit(0), lambda a, c: F.when(c == a, a + 1).otherwise(a))
-        settled = storage.cut(settled.unionByName(ready.select("node", free.cast("int").alias("colour"))))
-    return settled
+    open_pairs = storage.cut(pairs.withColumn("colour", F.lit(None).cast("int")))
+    fresh = open_pairs.select(F.col("lower").alias("node")).distinct().join(open_pairs.select("node").distinct(), "node", "left_anti").withColumn("colour", F.lit(0))
+    settled = [storage.cut(fresh)]
+    # the first place where the sorted used colours leave a gap
+    free = F.aggregate("used", F.lit(0), lambda a, c: F.when(c == a, a + 1).otherwise(a)).cast("int")
+    while not settled[-1].isEmpty():
+        known = settled[-1].select(F.col("node").alias("lower"), F.col("colour").alias("new"))
+        filled = storage.cut(open_pairs.join(known, "lower", "left").select("node", "lower", F.coalesce("colour", "new").alias("colour")))
+        storage.drop(open_pairs)
+        # a set of colours has as many as the graph at most, however many neighbours a node has
+        of_node = filled.groupBy("node").agg(F.count(F.when(F.col("colour").isNull(), 1)).alias("open"), F.sort_array(F.collect_set("colour")).alias("used"))
+        settled.append(storage.cut(of_node.filter("open = 0").select("node", free.alias("colour"))))
+        open_pairs = filled.join(settled[-1].select("node"), "node", "left_anti")
+    return reduce(DataFrame.unionByName, settled)
 
 
 def colour_conflicts(edges: DataFrame, colours: DataFrame) -> DataFrame:
