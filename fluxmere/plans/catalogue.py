@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -117,9 +117,11 @@ def l1_select_many(spark, d):
     return l1.select_many(l1.with_epoch(table(spark, d, "conversations")), F.split("text", " "), "word", "conv_id", "turn")
 
 
-@query(f"WITH {EV} SELECT event_id, true AS placed, epoch FROM ev")
+@query("SELECT user_id, COUNT(*) AS n, CAST(1 AS BIGINT) AS places FROM events GROUP BY user_id")
 def l1_select_by_vertex(spark, d):
-    return l1.select_by_vertex(events(spark, d), lambda v: v >= 0, "placed").select("event_id", "placed", "epoch")
+    """Once events are placed by user, all of a user's rows see one and the same place."""
+    placed = l1.select_by_vertex(l1.partition_by(events(spark, d), "user_id"), lambda v: v, "place")
+    return placed.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("place").alias("places"))
 
 
 @query(f"WITH {EV}, {typed('a', 'click')}, {typed('b', 'view')} SELECT * FROM a UNION ALL SELECT * FROM b")
@@ -481,10 +483,12 @@ def z_compact(spark, d):
     return changes(spark, d).compact(20).df
 
 
-@query(f"WITH {CH} SELECT user_id, event_type, CAST(weight AS BIGINT) AS weight, epoch FROM ch")
+@query(f"WITH {CH} SELECT COUNT(*) AS records, CAST(SUM(weight) AS BIGINT) AS weight FROM ch")
 def z_monitor(spark, d):
-    """Passes the changes through while they are counted."""
-    return changes(spark, d).monitor().df
+    """What was counted while the changes passed."""
+    seen = Observation("monitor")
+    changes(spark, d).monitor(seen).df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["records"], seen.get["weight"])], "records long, weight long")
 
 
 @query(f"""WITH {EV}, seen AS (SELECT user_id, MIN(epoch) AS epoch FROM ev GROUP BY user_id)
@@ -550,6 +554,24 @@ UNION ALL SELECT CAST(c_nationkey AS BIGINT), o_orderkey + 1000000000 FROM order
 UNION SELECT CAST(c_nationkey AS BIGINT), CAST(c_nationkey AS BIGINT) FROM customer)"""
 
 
+def block_edges(spark, d) -> DataFrame:
+    """Parts in blocks by size and brand digit, each pointing to one of its block by a quadratic
+    map: cycles with tails, self-loops, and parts that nothing points to."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") * 10 + F.substring("p_brand", -1, 1).cast("int")).cast("long").alias("b"))
+    w = Window.partitionBy("b")
+    p = p.select("node", "b", (F.row_number().over(w.orderBy("node")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    to = p.select(F.col("node").alias("target"), "b", F.col("i").alias("j"))
+    return p.withColumn("j", (F.col("i") * F.col("i") + F.col("b")) % F.col("n")).join(to, ["b", "j"]).select(F.col("node").alias("source"), "target")
+
+
+BLOCKS = """blk AS MATERIALIZED (SELECT node, b, row_number() OVER (PARTITION BY b ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY b) AS n FROM (SELECT p_partkey AS node, CAST(p_size * 10 + CAST(right(p_brand, 1) AS INTEGER) AS BIGINT) AS b FROM part)),
+be AS MATERIALIZED (SELECT x.node AS s, y.node AS t, x.b, x.i, y.i AS j FROM blk x JOIN blk y ON x.b = y.b AND y.i = (x.i * x.i + x.b) % x.n)"""
+#: (s, t): t is reached from s along one edge or more
+REACH = "reach(s, t) AS (SELECT s, t FROM be UNION SELECT reach.s, be.t FROM reach JOIN be ON be.s = reach.t)"
+#: (s, t) the same, whatever the edges' direction
+NEAR = "duo AS (SELECT s, t FROM be UNION SELECT t, s FROM be), near(s, t) AS (SELECT s, t FROM duo UNION SELECT near.s, duo.t FROM near JOIN duo ON duo.s = near.t)"
+
+
 def part_values(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("value"))
 
@@ -718,11 +740,36 @@ def label_priorities(spark, d):
     return table(spark, d, "part").select(text.log1p_bucket(F.col("p_partkey")).cast("long").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FAMILY} SELECT node, label FROM fam")
+@query(f"WITH RECURSIVE {BLOCKS}, {NEAR} SELECT s AS node, LEAST(s, MIN(t)) AS label FROM near GROUP BY s")
 def connected_components(spark, d):
+    """Of graphs with cycles and tails."""
+    return algorithms.connected_components(block_edges(spark, d))
+
+
+@query(f"WITH {FAMILY} SELECT node, label FROM fam")
+def connected_components_of_families(spark, d):
     return algorithms.connected_components(number_family(spark, d))
 
 
+CHANGING = "CASE WHEN s % 3 = 0 THEN 2 WHEN s % 3 = 1 THEN 0 ELSE 1 END"
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, ch AS (SELECT s, t, {CHANGING} AS e, 1 AS w FROM be UNION ALL SELECT s, t, {CHANGING} + 2, -1 FROM be WHERE s % 4 < 2),
+held AS (SELECT k AS e, s, t FROM ch, range(5) AS r(k) WHERE ch.e <= k GROUP BY k, s, t HAVING SUM(w) > 0),
+duo AS (SELECT e, s, t FROM held UNION SELECT e, t, s FROM held),
+near(e, s, t) AS (SELECT e, s, t FROM duo UNION SELECT near.e, near.s, duo.t FROM near JOIN duo ON duo.e = near.e AND duo.s = near.t),
+lab AS (SELECT e, s AS node, LEAST(s, MIN(t)) AS label FROM near GROUP BY e, s),
+c AS (SELECT node, label, e, 1 AS w FROM lab UNION ALL SELECT node, label, e + 1, -1 FROM lab WHERE e < (SELECT MAX(e) FROM ch))
+SELECT node, label, CAST(SUM(w) AS BIGINT) AS weight, CAST(e AS INTEGER) AS epoch FROM c GROUP BY node, label, e HAVING SUM(w) <> 0""")
+def connected_components_changes(spark, d):
+    """Edges enter over three epochs and half of them leave again: labels retract and return."""
+    e = block_edges(spark, d)
+    enters = F.when(F.col("source") % 3 == 0, 2).when(F.col("source") % 3 == 1, 0).otherwise(1)
+    plus = e.select("source", "target", F.lit(1).cast("long").alias("weight"), enters.alias("epoch"))
+    minus = e.filter(F.col("source") % 4 < 2).select("source", "target", F.lit(-1).cast("long").alias("weight"), (enters + 2).alias("epoch"))
+    return algorithms.component_changes(Collection(plus.unionByName(minus))).df
+
+
 @query(f"WITH {FAMILY} SELECT node, MAX(node) OVER (PARTITION BY label) AS label FROM fam")
 def connected_components_greatest(spark, d):
     return algorithms.connected_components(number_family(spark, d), greatest=True)
@@ -733,10 +780,10 @@ def component_sizes(spark, d):
     return algorithms.component_sizes(algorithms.connected_components(number_family(spark, d)))
 
 
-@query("SELECT CAST(c_nationkey AS BIGINT) AS node, CAST(c_nationkey AS BIGINT) AS label FROM (SELECT DISTINCT c_nationkey FROM customer) UNION ALL SELECT c_custkey + 1000, GREATEST(c_custkey + 1000, c_nationkey) FROM customer UNION SELECT o_custkey + 1000, o_custkey + 1000 FROM orders UNION ALL SELECT o_orderkey + 1000000000, o_orderkey + 1000000000 FROM orders")
+@query(f"WITH RECURSIVE {BLOCKS}, {REACH}, n AS (SELECT s AS node, s AS v FROM be UNION SELECT t, t FROM be UNION ALL SELECT t, s FROM reach) SELECT node, MAX(v) AS label FROM n GROUP BY node")
 def label_propagation(spark, d):
-    """Along edges only: nothing greater reaches a node than itself in a family."""
-    return algorithms.label_propagation(number_family(spark, d))
+    """Along edges, around cycles."""
+    return algorithms.label_propagation(block_edges(spark, d))
 
 
 @query("SELECT 'r' || r_regionkey AS node FROM region UNION SELECT 'n' || n_nationkey FROM nation UNION SELECT 'c' || c_custkey FROM customer UNION SELECT 'o' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey")
@@ -758,31 +805,42 @@ def pagerank(spark, d):
     return algorithms.pagerank(part_edges(spark, d)).withColumn("rank", F.round("rank", 8))
 
 
-@query()
+@query(f"WITH RECURSIVE {BLOCKS}, {REACH} SELECT node, LEAST(node, MIN(r.t)) AS label FROM (SELECT s AS node FROM be UNION SELECT t FROM be) LEFT JOIN (SELECT a.s, a.t FROM reach a JOIN reach b ON a.s = b.t AND a.t = b.s) r ON r.s = node GROUP BY node")
 def strongly_connected_components(spark, d):
-    return algorithms.strongly_connected_components(part_edges(spark, d))
+    return algorithms.strongly_connected_components(block_edges(spark, d))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target WHERE false")
+@query(f"WITH RECURSIVE {BLOCKS}, {REACH} SELECT be.t AS source, be.s AS target FROM be WHERE be.s IN (SELECT s FROM reach WHERE s = t)")
 def trim_leaves(spark, d):
-    """A family has no cycle: nothing remains."""
-    return algorithms.trim_leaves(family(spark, d))
+    """Against the edges' direction, tails go and cycles stay."""
+    return algorithms.trim_leaves(algorithms.flip(block_edges(spark, d)))
 
 
-@query()
+#: a block's nodes in order, each with the least colour that its lower neighbours leave
+COLOURS = f"""{BLOCKS}, low AS MATERIALIZED (SELECT b, greatest(i, j) AS i, list(DISTINCT least(i, j)) AS lower FROM be WHERE i <> j GROUP BY 1, 2),
+col(b, n, i, cs) AS (SELECT DISTINCT b, n, CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] FROM blk UNION ALL
+SELECT col.b, col.n, col.i + 1, list_append(cs, list_filter(range(0, len(coalesce(lower, [])) + 1), lambda k: NOT list_contains(list_transform(coalesce(lower, []), lambda x: cs[x + 1]), k))[1])
+FROM col LEFT JOIN low ON low.b = col.b AND low.i = col.i + 1 WHERE col.i + 1 < col.n)"""
+
+
+@query(f"WITH RECURSIVE {COLOURS} SELECT node, CAST(cs[blk.i + 1] AS INTEGER) AS colour FROM blk JOIN col ON col.b = blk.b AND col.i = col.n - 1 WHERE node IN (SELECT s FROM be WHERE s <> t UNION SELECT t FROM be WHERE s <> t)")
 def graph_colouring(spark, d):
-    return algorithms.colour(algorithms.random_graph(spark, 2000, 4000, 1))
+    return algorithms.colour(block_edges(spark, d))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS conflicts")
 def colouring_check(spark, d):
-    e = algorithms.random_graph(spark, 1000, 2000, 2)
+    e = part_edges(spark, d)
     return algorithms.colour_conflicts(e, algorithms.colour(e)).agg(F.count("*").alias("conflicts"))
 
 
-@query()
+@query("SELECT COUNT(*) AS edges, true AS inside, true AS spread FROM part")
 def random_graph(spark, d):
-    return algorithms.random_graph(spark, 1000, 2000)
+    """As many edges as parts; ends lie in range, and most nodes have one."""
+    n = table(spark, d, "part").count()
+    g = algorithms.random_graph(spark, 100, n)
+    inside = F.min(F.least("source", "target") >= 0) & F.max(F.greatest("source", "target") < 100)
+    return g.agg(F.count("*").alias("edges"), inside.alias("inside"), (F.count_distinct("source") > 50).alias("spread"))
 
 
 @query("SELECT COUNT(*) AS received, CAST(SUM(l_partkey) AS BIGINT) AS total FROM lineitem")
@@ -821,11 +879,83 @@ def io_repartition(spark, d):
     return back.agg(F.count("*").alias("lines"), F.count_distinct("value").alias("texts"), F.count_distinct("file").alias("parts"))
 
 
+@query(f"WITH {EV} SELECT epoch, COUNT(*) AS n, true AS own FROM ev GROUP BY epoch")
+def io_write_in_rounds(spark, d):
+    """Epochs written as they close, each by a call of its own for two halves, and the last one again:
+    none goes, none is doubled, and a call gives the files of its own epochs."""
+    path = f"{storage.shared_dir(spark)}/io-{uuid.uuid4().hex[:10]}"
+    e = storage.cut(events(spark, d).select("event_id", "epoch"))
+    half = e.agg(F.expr("percentile(epoch, 0.5)")).first()[0]
+    first = io.write_by_epoch(e.filter(F.col("epoch") <= half), path)
+    io.write_by_epoch(e.filter(F.col("epoch") > half), path)
+    again = io.write_by_epoch(e.filter(F.col("epoch") > half), path)
+    own = first.agg(F.max("epoch")).first()[0] <= half < again.agg(F.min("epoch")).first()[0]
+    return spark.read.parquet(path).groupBy("epoch").agg(F.count("*").alias("n")).withColumn("own", F.lit(own))
+
+
+@query("SELECT event_id, user_id FROM events")
+def io_custom_files(spark, d):
+    """Records of fixed width, written to files of one's own format and read back."""
+    path = f"{storage.shared_dir(spark)}/io-{uuid.uuid4().hex[:10]}"
+    io.write_custom_files(table(spark, d, "events").select("event_id", "user_id").repartition(3), path, io.pack_longs)
+    names = ["event_id", "user_id"]
+    return io.read_custom(spark, path, lambda c: io.unpack_longs(c, names), "event_id long, user_id long").select(*names)
+
+
+@query("SELECT p_partkey, p_name, CAST(0 AS INTEGER) AS epoch FROM part")
+def io_binary(spark, d):
+    """Typed records, written and read back as one epoch."""
+    path = f"{storage.shared_dir(spark)}/io-{uuid.uuid4().hex[:10]}"
+    table(spark, d, "part").select("p_partkey", "p_name").write.parquet(path)
+    return io.read_binary(spark, path)
+
+
+@query("WITH w AS (SELECT conv_id, unnest(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split(l, ' ')))) AS word, turn FROM conversations) SELECT conv_id, word, COUNT(*) AS weight, CAST(turn AS INTEGER) AS epoch FROM w GROUP BY ALL")
+def z_select_many_segments(spark, d):
+    """A text's words as segments, one a line."""
+    c = table(spark, d, "conversations").select("conv_id", "text", F.lit(1).cast("long").alias("weight"), F.col("turn").cast("int").alias("epoch"))
+    lines = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    return Collection(c).select_many_segments(lines, "word", "conv_id").deltas()
+
+
+@query("WITH r AS (SELECT event_id, user_id, SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT user_id AS node, event_id, CAST(n AS BIGINT) AS out FROM r")
+def g_state_outputs(spark, d):
+    """An output for every input: how many errors the user has had so far."""
+    values = table(spark, d, "events").select(F.col("user_id").alias("node"), "event_id", (F.col("event_type") == "error").cast("long").alias("value"))
+    return graph.state_machine_outputs(values, "event_id", 0, lambda v, s: (s + v, s + v))
+
+
+@query("SELECT user_id, COUNT(*) AS n, CAST(1 AS BIGINT) AS places FROM events GROUP BY user_id")
+def z_partition_by(spark, d):
+    c = Collection(events(spark, d).select("user_id", F.lit(1).cast("long").alias("weight"), "epoch")).partition_by("user_id").assume_partitioned_by("user_id").assume_immutable()
+    return c.df.withColumn("place", F.spark_partition_id()).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("place").alias("places"))
+
+
 # --- streams -------------------------------------------------------------------------------------
 
+#: Files of a micro-batch.
+PER_BATCH = 8
+#: Events of the third day that arrive with the last one's, far behind the watermark.
+LATE = "(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) = 2 AND event_id % 20 = 7)"
+#: Events with the number of their micro-batch.
+BATCHED = f"""ar AS (SELECT *, CASE WHEN {LATE} THEN MAX(CAST(ts AS DATE)) OVER () ELSE CAST(ts AS DATE) END AS arrives FROM events),
+bt AS (SELECT *, CAST((dense_rank() OVER (ORDER BY arrives) - 1) // {PER_BATCH} AS INTEGER) AS epoch FROM ar)"""
+
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    return streams.file_epochs(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema)
+    """Events as they arrive: a file a day, in order, ``PER_BATCH`` files a micro-batch."""
+    e = table(spark, d, "events")
+    base = f"{storage.shared_dir(spark)}/arrivals-{uuid.uuid4().hex[:10]}"
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    last = e.agg(F.max(day)).first()[0]
+    late = (day == 2) & (F.col("event_id") % 20 == 7)
+    e.withColumn("day", F.when(late, last).otherwise(day)).repartition("day").write.partitionBy("day").parquet(base)
+    # a stream takes files by their times
+    fs, folder = storage.file_system(spark, base)
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "day=*/part-*"))
+    for f in found:
+        fs.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(f.getPath().getParent().getName()[4:]), -1)
+    return streams.file_epochs(spark, f"{base}/day=*/part-*", e.schema, per_epoch=PER_BATCH)
 
 
 def _collected(df: DataFrame, mode: str) -> DataFrame:
@@ -839,9 +969,9 @@ def s_count(spark, d):
     return _collected(streams.streaming_count(_stream(spark, d), "event_type"), "complete")
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, COUNT(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2")
+@query("SELECT date_trunc('day', ts) AS start, event_type, COUNT(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AND NOT " + LATE + " GROUP BY 1, 2")
 def s_tumbling(spark, d):
-    """Append mode: only windows that the watermark has closed."""
+    """Append mode: only windows that the watermark has closed, without rows that came after that."""
     e = streams.event_time(_stream(spark, d), "ts", "10 minutes")
     w = _collected(streams.tumbling(e, "ts", "1 day", F.count("*").alias("n"), keys=("event_type",)), "append")
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
@@ -854,8 +984,9 @@ def s_sliding(spark, d):
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM s GROUP BY user_id, k")
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE NOT " + LATE + "), s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM s GROUP BY user_id, k")
 def s_sessions(spark, d):
+    """Sessions keep their state to the end, but rows behind the watermark are dropped."""
     e = streams.event_time(_stream(spark, d), "ts", "10 minutes")
     w = _collected(streams.sessions(e, "ts", "6 hours", F.count("*").alias("n"), keys=("user_id",)), "complete")
     return w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
@@ -872,15 +1003,17 @@ def s_machine(spark, d):
     return _collected(m, "update").groupBy("user_id").agg(F.max("n").alias("n"))
 
 
-@query("SELECT event_type, COUNT(*) AS count, CAST(1 AS BIGINT) AS weight FROM events GROUP BY event_type")
+@query(f"""WITH {BATCHED}, per AS (SELECT user_id, epoch, COUNT(*) AS n FROM bt GROUP BY 1, 2), run AS (SELECT user_id, epoch, CAST(SUM(n) OVER (PARTITION BY user_id ORDER BY epoch) AS BIGINT) AS count FROM per),
+old AS (SELECT *, LAG(count) OVER (PARTITION BY user_id ORDER BY epoch) AS was FROM run)
+SELECT user_id, count, CAST(1 AS BIGINT) AS weight, epoch FROM old UNION ALL SELECT user_id, was, CAST(-1 AS BIGINT), epoch FROM old WHERE was IS NOT NULL""")
 def s_changes(spark, d):
-    """Weighted changes of a streaming count add up to its result."""
+    """Weighted changes of a streaming count, micro-batch by micro-batch: old counts go, new ones come."""
     base = f"{storage.shared_dir(spark)}/changes-{uuid.uuid4().hex[:10]}"
-    streams.changes_of(streams.streaming_count(_stream(spark, d), "event_type"), ["event_type"], "count", f"{base}/out", f"{base}/check")
-    return Collection(spark.read.parquet(f"{base}/out").select("event_type", "count", "weight", "epoch")).at()
+    streams.changes_of(streams.streaming_count(_stream(spark, d), "user_id"), ["user_id"], "count", f"{base}/out", f"{base}/check")
+    return spark.read.parquet(f"{base}/out").select("user_id", "count", "weight", "epoch")
 
 
-@query("SELECT a.user_id, a.event_id AS error_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND date_trunc('day', a.ts) = date_trunc('day', b.ts) WHERE a.event_type = 'error' AND b.event_type = 'purchase'")
+@query("SELECT a.user_id, a.event_id AS error_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND date_trunc('day', a.ts) = date_trunc('day', b.ts) WHERE a.event_type = 'error' AND b.event_type = 'purchase' AND NOT " + LATE.replace("ts", "a.ts").replace("event_id", "a.event_id") + " AND NOT " + LATE.replace("ts", "b.ts").replace("event_id", "b.event_id"))
 def s_join(spark, d):
     """Two streams, joined by user and day."""
     pick = lambda kind, name: _stream(spark, d).filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))

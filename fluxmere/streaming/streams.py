@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.zset import EPOCH, WEIGHT, Collection
+from ..operators.zset import EPOCH, WEIGHT
+from ..storage import file_system
 
 
 def file_epochs(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_epoch: int = 1) -> DataFrame:
@@ -105,20 +106,31 @@ def for_each_epoch(df: DataFrame, action: Callable[[DataFrame, int], None], chec
 
 def changes_of(counts: DataFrame, keys: list[str], value: str, out: str, checkpoint: str) -> StreamingQuery:
     """Weighted changes of an update-mode aggregate, written per epoch below ``out``: the old row
-    with weight -1, the new one with +1. Written over by epoch, so a repeated one is harmless."""
+    with weight -1, the new one with +1; rows that stay as they were are no change.
+
+    Next to the checkpoint stand the rows as of the last epochs, so that an epoch reads these
+    and not all changes before it. Written over by epoch, so a repeated one is harmless."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        fs, base = file_system(spark, f"{checkpoint}-rows")
+        known = sorted(int(f.getPath().getName()) for f in (fs.listStatus(base) if fs.exists(base) else ()))
+        last = [e for e in known if e < epoch][-1:]
+        batch = batch.select(*keys, value).persist()
         plus = batch.select(*keys, value, F.lit(1).cast("long").alias(WEIGHT))
-        try:
-            past = spark.read.parquet(out).filter(F.col(EPOCH) < epoch)
-            held = Collection(past.select(*keys, value, WEIGHT, EPOCH)).at().filter(F.col(WEIGHT) > 0)
+        now = batch
+        if last:
+            held = spark.read.schema(batch.schema).parquet(f"{checkpoint}-rows/{last[0]}")
             old = held.join(batch.select(*keys), keys, "left_semi")
             plus = plus.unionByName(old.select(*keys, value, F.lit(-1).cast("long").alias(WEIGHT)))
-        except Exception as e:  # the first epoch has no past
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        plus.withColumn(EPOCH, F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/{EPOCH}={epoch}")
+            now = held.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        changes = plus.groupBy(*keys, value).agg(F.sum(WEIGHT).alias(WEIGHT)).filter(F.col(WEIGHT) != 0)
+        changes.withColumn(EPOCH, F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/{EPOCH}={epoch}")
+        now.write.mode("overwrite").parquet(f"{checkpoint}-rows/{epoch}")
+        for e in known:
+            if e < epoch - 1:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(base, str(e)), True)
+        batch.unpersist()
 
     return for_each_epoch(counts, write, checkpoint, "update")
 
