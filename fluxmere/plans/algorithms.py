@@ -144,31 +144,59 @@ def flip(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
-def _least_label(edges: DataFrame) -> DataFrame:
-    start = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct().withColumn("value", F.col("node"))
-    return iterate.until_quiet(start, lambda delta, _: graph.transmit_along(delta, edges), ["node"], "value", F.least, hops=3)
+def _trim_both(edges: DataFrame) -> DataFrame:
+    """Edges that remain when those from nodes without an edge in and into nodes without an edge out
+    are taken away, over and over, four times between one count and the next."""
+    e, n = storage.cut(edges.select("source", "target").distinct()), -1
+    while (m := e.count()) != n:
+        n, last = m, e
+        for _ in range(4):
+            e = e.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        e = storage.cut(e.select("source", "target"))
+        storage.drop(last)
+    return e
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(node, first, last): the least node that reaches each node, and the least that it reaches,
+    itself included. Both directions take their rounds together."""
+    both = edges.select(F.lit(0).alias("way"), "source", "target").unionByName(flip(edges).withColumn("way", F.lit(1)))
+    both = storage.cut(both.select("way", F.col("source").alias("node"), "target"))
+    start = both.select("way", "node").unionByName(both.select("way", F.col("target").alias("node"))).distinct().withColumn("value", F.col("node"))
+    step = lambda delta, _: delta.join(both, ["way", "node"]).select("way", F.col("target").alias("node"), "value")
+    out = iterate.until_quiet(start, step, ["way", "node"], "value", F.least, hops=4)
+    return storage.cut(out.groupBy("node").agg(F.min(F.when(F.col("way") == 0, F.col("value"))).alias("first"), F.min(F.when(F.col("way") == 1, F.col("value"))).alias("last")))
+
+
+def strong_labels(edges: DataFrame) -> DataFrame:
+    """(node, label) of the nodes on cycles: the least node of the strong component.
+
+    Trims what leads into or out of cycles only. Then a node whose least reaching and least
+    reached nodes are one has that node's component, and leaves; edges between nodes that
+    differ in either lie between components, and leave; the rest goes round again."""
+    e, settled = _trim_both(edges), edges.select(F.col("source").alias("node"), F.col("source").alias("label")).limit(0)
+    while not e.isEmpty():
+        ends = _ends(e)
+        settled = settled.unionByName(ends.filter(F.col("first") == F.col("last")).select("node", F.col("first").alias("label")))
+        rest = ends.filter(F.col("first") != F.col("last"))
+        a = rest.select(F.col("node").alias("source"), "first", "last")
+        b = rest.select(F.col("node").alias("target"), "first", "last")
+        e = storage.cut(e.join(a, "source").join(b, ["target", "first", "last"]).select("source", "target"))
+    return settled
 
 
 def scc_edges(edges: DataFrame) -> DataFrame:
-    """Edges inside strongly connected components: trim leaves both ways, then keep edges whose
-    ends have one least reaching node, forwards and backwards in turn, until none leaves."""
-    e = flip(trim_leaves(flip(trim_leaves(edges))))
-    n = -1
-    while (m := e.count()) != n:
-        n = m
-        for _ in range(2):
-            labels = _least_label(e).select("node", F.col("value").alias("label"))
-            a = labels.select(F.col("node").alias("source"), F.col("label").alias("la"))
-            b = labels.select(F.col("node").alias("target"), F.col("label").alias("lb"))
-            e = storage.cut(flip(e.join(a, "source").join(b, "target").filter("la = lb")))
-    return e
+    """Edges inside strongly connected components."""
+    labels = storage.cut(strong_labels(edges))
+    a = labels.select(F.col("node").alias("source"), "label")
+    b = labels.select(F.col("node").alias("target"), "label")
+    return edges.select("source", "target").distinct().join(a, "source").join(b, ["target", "label"]).select("source", "target")
 
 
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes: the least node of its strong component; lone nodes are their own."""
     nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
-    inner = _least_label(scc_edges(edges)).withColumnRenamed("value", "label")
-    return nodes.join(inner, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return nodes.join(strong_labels(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 UNSET = 2**31 - 1

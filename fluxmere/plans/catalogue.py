@@ -555,16 +555,16 @@ UNION SELECT CAST(c_nationkey AS BIGINT), CAST(c_nationkey AS BIGINT) FROM custo
 
 
 def block_edges(spark, d) -> DataFrame:
-    """Parts in blocks by size and brand digit, each pointing to one of its block by a quadratic
-    map: cycles with tails, self-loops, and parts that nothing points to."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") * 10 + F.substring("p_brand", -1, 1).cast("int")).cast("long").alias("b"))
+    """Parts in blocks of neighbours, each pointing to one of its block by a quadratic map: cycles
+    with tails, self-loops, and parts that nothing points to."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 16).alias("b"))
     w = Window.partitionBy("b")
     p = p.select("node", "b", (F.row_number().over(w.orderBy("node")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
     to = p.select(F.col("node").alias("target"), "b", F.col("i").alias("j"))
     return p.withColumn("j", (F.col("i") * F.col("i") + F.col("b")) % F.col("n")).join(to, ["b", "j"]).select(F.col("node").alias("source"), "target")
 
 
-BLOCKS = """blk AS MATERIALIZED (SELECT node, b, row_number() OVER (PARTITION BY b ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY b) AS n FROM (SELECT p_partkey AS node, CAST(p_size * 10 + CAST(right(p_brand, 1) AS INTEGER) AS BIGINT) AS b FROM part)),
+BLOCKS = """blk AS MATERIALIZED (SELECT node, b, row_number() OVER (PARTITION BY b ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY b) AS n FROM (SELECT p_partkey AS node, p_partkey // 16 AS b FROM part)),
 be AS MATERIALIZED (SELECT x.node AS s, y.node AS t, x.b, x.i, y.i AS j FROM blk x JOIN blk y ON x.b = y.b AND y.i = (x.i * x.i + x.b) % x.n)"""
 #: (s, t): t is reached from s along one edge or more
 REACH = "reach(s, t) AS (SELECT s, t FROM be UNION SELECT reach.s, be.t FROM reach JOIN be ON be.s = reach.t)"
@@ -830,7 +830,7 @@ def graph_colouring(spark, d):
 
 @query("SELECT CAST(0 AS BIGINT) AS conflicts")
 def colouring_check(spark, d):
-    e = part_edges(spark, d)
+    e = algorithms.flip(block_edges(spark, d))
     return algorithms.colour_conflicts(e, algorithms.colour(e)).agg(F.count("*").alias("conflicts"))
 
 
