@@ -107,10 +107,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return a.view(np.int64), x.view(np.int64), own[head], lo - base, hi - base
 
 
-def anchors_of(text: bytes) -> list[tuple[np.ndarray, ...]]:
-    """Anchors of one text of any length, by pieces of 8 MB. An anchor whose windows a piece
-    border parts comes twice, each with its share of the windows."""
-    step = 8_000_000
+PIECE = 8_000_000
+
+
+def anchors_of(text: bytes, step: int = PIECE) -> list[tuple[np.ndarray, ...]]:
+    """Anchors of one text of any length, by pieces of ``step`` windows. An anchor whose windows
+    a piece border parts comes twice, each with its share of the windows."""
     out = []
     for a in range(0, max(1, len(text) - SPAN + 1), step):
         got = anchors([text[a : a + step + SPAN - 1]])
@@ -118,11 +120,11 @@ def anchors_of(text: bytes) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-def anchors_in(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
+def anchors_in(texts: list[bytes], step: int = PIECE) -> list[tuple[np.ndarray, ...]]:
     """Anchors of a chunk of texts: of all together, or of each by itself if there is a long one."""
-    if sum(map(len, texts)) <= 8_000_000:
+    if sum(map(len, texts)) <= step:
         return [anchors(texts)]
-    return [(a, x, own + k, lo, hi) for k, text in enumerate(texts) for a, x, own, lo, hi in anchors_of(text)]
+    return [(a, x, own + k, lo, hi) for k, text in enumerate(texts) for a, x, own, lo, hi in anchors_of(text, step)]
 
 
 # --- suffix arrays -------------------------------------------------------------------------
@@ -370,27 +372,46 @@ def compare_contexts(contexts: DataFrame, chunk: int = 1_000_000) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in COMPARED.split(", ")])
 
     cols = ["a", "salt", "salts", "shard", "idx", "lo", "once", "context"]
-    return contexts.repartition("a", "salt").sortWithinPartitions("a", "salt").select(*cols).mapInArrow(run, COMPARED)
+    # as many tasks as shuffle partitions: by their bytes, little work would be thought to lie in them
+    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contexts.repartition(n, "a", "salt").sortWithinPartitions("a", "salt").select(*cols).mapInArrow(run, COMPARED)
+
+
+def merged_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs in one: (keys, number of each in the joined runs). Neighbours are merged, the
+    places of the second among the first found by binary search, until one run is left."""
+    first = np.cumsum([0, *map(len, runs)])
+    held = [(r, np.arange(a, a + len(r))) for r, a in zip(runs, first)]
+    while len(held) > 1:
+        out = [held[-1]] if len(held) % 2 else []
+        for (k, at), (other, other_at) in zip(held[0::2], held[1::2]):
+            place = np.searchsorted(k, other, "right") + np.arange(len(other))
+            own = np.ones(len(k) + len(other), bool)
+            own[place] = False
+            keys, number = np.empty(len(own), k.dtype), np.empty(len(own), np.int64)
+            keys[place], keys[own], number[place], number[own] = other, k, other_at, at
+            out.append((keys, number))
+        held = out
+    return held[0]
 
 
 def merge_shards(compared: DataFrame) -> DataFrame:
-    """Windows that stand in several shards of one string: their sorted runs are merged one
-    after another, each looked up in the merged ones by binary search. A range of a string
-    holds about as many windows as one shard."""
+    """Windows that stand in several shards of one string: their sorted runs are merged by binary
+    search, and equal neighbours repeat. A range of a string holds about as many windows as
+    one shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, more, places = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
-        hit = np.zeros(0, bool)
-        for k, m, w in zip(*(table.column(c).to_pylist() for c in ("keys", "more", "places"))):
-            k, m, w = np.frombuffer(k, np.uint64), np.frombuffer(m, np.uint64), np.frombuffer(w, np.int64).reshape(-1, 4)
-            own = np.zeros(len(k), bool)
-            first, last = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-            found = np.flatnonzero(last > first)
-            for i in found.tolist():  # all merged ones of the same hash; the second hash decides
-                same = np.flatnonzero(more[first[i] : last[i]] == m[i]) + first[i]
-                own[i] = len(same) > 0
-                hit[same] = True
-            keys, more, places, hit = (np.insert(x, last, y, 0) for x, y in ((keys, k), (more, m), (places, w), (hit, own)))
+        runs, more, places = (table.column(c).to_pylist() for c in ("keys", "more", "places"))
+        keys, at = merged_runs([np.frombuffer(k, np.uint64) for k in runs])
+        more, places = np.frombuffer(b"".join(more), np.uint64)[at], np.frombuffer(b"".join(places), np.int64).reshape(-1, 4)[at]
+        tied = np.append(keys[1:] == keys[:-1], False)
+        tied |= np.append(False, tied[:-1])
+        mixed = np.flatnonzero(tied)
+        # of equal first hashes, the second one decides
+        order = mixed[np.lexsort((more[mixed], keys[mixed]))]
+        more[mixed], places[mixed] = more[order], places[order]
+        same = (keys[1:] == keys[:-1]) & (more[1:] == more[:-1])
+        hit = np.append(same, False) | np.append(False, same)
         got = places[hit & (places[:, 3] > 0)]
         return pa.table({"shard": pa.array(got[:, 0]), **{c: pa.array(got[:, i].astype(np.int32)) for c, i in (("idx", 1), ("lo", 2), ("hi", 2))}})
 
