@@ -237,7 +237,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in common.chunks(pc.binary_length(texts).to_pylist(), 4_000_000):
+            for a, b in common.chunks(pc.binary_length(texts).to_pylist(), 16_000_000):
                 flat, counts = codec.encode(texts.slice(a, b - a))
                 at = 0
                 for doc_id, n in zip(ids_of[a:b], counts.tolist()):
