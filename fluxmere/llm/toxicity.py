@@ -5,10 +5,11 @@ of the class hold the word, interpolated with a backoff distribution that both c
 share, the word's continuation count, in how many documents of the whole corpus it stands.
 A document compares its log-likelihoods under both, summed over all its words (runs of
 letters, digits or other signs) and divided by their number. A class's own probability is
-trusted as far as chance doesn't explain it: with z the two classes' difference of the share
-of documents that hold the word, by its standard error, the log ratio is shrunk by
-``max(0, 1 - (SURE / z)**2)``, and the rest of both likelihoods is the shared backoff, the
-same for both. A logistic curve turns the mean into a probability; it is fitted on means
+trusted as far as chance doesn't explain it: with z the two classes' difference of the word's
+share of documents, or of words if that is less sure, by its standard error, the log ratio is
+shrunk by ``max(0, 1 - (SURE / z)**2)``, and the rest of both likelihoods is the shared
+backoff, the same for both. Where shares and ratio point to different classes, as they do for
+words whose ratio comes from the classes' unequal discounts, all of it is. A logistic curve turns the mean into a probability; it is fitted on means
 from models that have not seen the document.
 
 Words are told apart by 64-bit hashes. Continuation counts cover all documents, in a table
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from . import common
 from .wordstream import Words, held_out, labelled_sample, sums
 
-DISCOUNT, SURE = 0.9, 3.0
+DISCOUNT, SURE = 0.9, 4.0
 #: Labelled rows of each class to fit on, and their distinct words a document in all, at most.
 SAMPLE, SAMPLE_WORDS = 8000, 4_000_000
 THRESHOLD = 0.7
@@ -100,10 +101,13 @@ def _ratio(counts: np.ndarray, shared: np.ndarray, documents: np.ndarray, types:
     """Of each word, given by both classes how many of its documents hold the word, and by the classes'
     numbers of documents, of distinct words, and of words a document in all."""
     logs = [np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(1, t) * shared) / max(1.0, n)) for c, t, n in zip(counts, types, totals)]
-    n = np.maximum(documents, 1)
-    p = (counts.sum(0) + 0.5) / (n.sum() + 1)
-    z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-    return (logs[1] - logs[0]) * np.maximum(0, 1 - (SURE / np.maximum(np.abs(z), 1e-9)) ** 2)
+    ratio = logs[1] - logs[0]
+    least = np.full(len(shared), np.inf)
+    for n in (np.maximum(documents, 1), np.maximum(totals, 1)):
+        p = (counts.sum(0) + 0.5) / (n.sum() + 1)
+        z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
+        least = np.minimum(least, np.sign(ratio) * z)
+    return ratio * np.maximum(0, 1 - (SURE / np.maximum(least, 1e-9)) ** 2)
 
 
 def _mean_ratio(ratio: np.ndarray, words: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
