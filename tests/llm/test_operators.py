@@ -493,10 +493,10 @@ def test_ratio_against_plain_python():
 
 
 def test_sample_is_bounded_in_words(spark):
-    docs = spark.createDataFrame([(i, " ".join("w" + str(100 * i + k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(10)) + (" vile" if i % 2 else " fine")) for i in range(60)], "doc_id long, text string")
-    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, " ".join("w" + str(100 * i + k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(10)) + (" vile" if i % 2 else " fine")) for i in range(200)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     few, every = (toxicity.sampled(docs, marks, most_words=n) for n in (100, 10**6))
-    assert every.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    assert every.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(200))
     assert sorted((r.label, r["count"]) for r in few.groupBy("label").count().collect()) == [(0, 9), (1, 9)]
     model = toxicity.train(docs, marks)
     assert model.score([b"vile"])[0] > model.score([b"fine"])[0] and len(model.words) == 2
