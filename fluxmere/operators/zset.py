@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -285,6 +286,12 @@ class Collection:
         rows = both.select(*keys, F.explode(reducer(F.col("left"), F.col("right"))).alias(name), EPOCH, *extra)
         return self._valid_until(rows, keys, changes)
 
+    def _never_negative(self) -> bool:
+        """Whether no record has a negative weight at any epoch."""
+        per = self.df.groupBy(*self.record, EPOCH).agg(F.sum(WEIGHT).alias(WEIGHT))
+        run = F.sum(WEIGHT).over(Window.partitionBy(*self.record).orderBy(EPOCH))
+        return per.select(run.alias(WEIGHT)).filter(F.col(WEIGHT) < 0).isEmpty()
+
     # --- iteration ---------------------------------------------------------------------------
 
     def fixed_point(self, body: Callable[[Collection], Collection], max_iterations: int | None = None) -> Collection:
@@ -305,9 +312,17 @@ class Collection:
         """X(i+1) = body(Xi) + (I(i+1) - I(i)), with I(i) the records of priority at most i.
 
         Iterations in which nothing happens are skipped: after quiescence the next priority
-        enters."""
-        tagged = self.df.withColumn("p", priority.cast("long"))
-        waves = [r.p for r in storage.cut(tagged.select("p").distinct()).orderBy("p").collect()]
+        enters. ``body`` must be a function of its argument only.
+
+        Where the order of entry can't tell in the result, all records enter at once: without a
+        bound, if no contents are negative and ``body`` is seen to be monotone, to keep what it
+        is given and to end in a set (``_Shape``). Any other body runs priority by priority, so
+        takes at least two rounds for each."""
+        start = Collection(storage.cut(self.consolidate().df.select(*self.df.columns)))
+        if max_iterations is None and (constants := _Shape.constants_of(body, start)) is not None and all(c._never_negative() for c in [start, *constants]):
+            return start.fixed_point(body)
+        tagged = storage.cut(start.df.withColumn("p", priority.cast("long")))
+        waves = [r.p for r in tagged.select("p").distinct().orderBy("p").collect()]
         none = Collection(self.df.limit(0))
         x, i, k = none, -1, 0
         while max_iterations is None or i <= max_iterations:
@@ -331,3 +346,106 @@ class _Tagged(Collection):
     @property
     def record(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("wa", "wb", EPOCH)]
+
+
+class _Opaque(Exception):
+    """A body does what nothing is known of."""
+
+
+class _Shape(Collection):
+    """Stands in for a body's argument, to learn what the body is made of; has no rows.
+
+    Which records the results of its operators hold grows with which the argument holds, and
+    with nothing else (for contents that are never negative). ``keeps``: they hold all of the
+    argument's. ``is_set``: with weight 1. A body that gives both has one least fixed point
+    over an input, whatever the order in which that enters. All other operators ask for
+    ``df``, and that is refused."""
+
+    def __init__(self, rows: DataFrame, constants: list[Collection], keeps: bool = False, is_set: bool = False):
+        self.rows, self.constants, self.keeps, self.is_set = rows, constants, keeps, is_set
+
+    @staticmethod
+    def constants_of(body: Callable[[Collection], Collection], x: Collection) -> list[Collection] | None:
+        """The collections that a monotone ``body`` has besides ``x``; None: it isn't seen to be one."""
+        try:
+            out = body(_Shape(_Shape._empty(x.df), [], keeps=True))
+        except _Opaque:
+            return None
+        return out.constants if isinstance(out, _Shape) and out.keeps and out.is_set else None
+
+    @property
+    def df(self) -> DataFrame:
+        raise _Opaque
+
+    @property
+    def record(self) -> list[str]:
+        return [c for c in self.rows.columns if c not in (WEIGHT, EPOCH)]
+
+    @staticmethod
+    def _empty(df: DataFrame) -> DataFrame:
+        return df.sparkSession.createDataFrame([], df.schema)
+
+    def _row_by_row(self, rows: DataFrame, f: Callable[[DataFrame], DataFrame], hidden: tuple[str, ...]) -> DataFrame:
+        """f of empty rows, if it looks at one row at a time, never at the columns ``hidden``, and
+        gives the same each time."""
+        try:
+            out = f(rows)
+        except AnalysisException:
+            raise _Opaque from None
+        plan = out._jdf.queryExecution().analyzed()
+        if not plan.deterministic():
+            raise _Opaque
+        while plan.children().size():
+            seen = plan.references().toSeq()
+            if plan.nodeName() not in ("Project", "Filter", "Generate") or any(seen.apply(i).name() in hidden for i in range(seen.size())):
+                raise _Opaque
+            plan = plan.children().apply(0)
+        return out
+
+    def _mapped(self, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        out = self._row_by_row(self._empty(self.rows), f, (WEIGHT, EPOCH))
+        return out.select(*[c for c in out.columns if c not in (WEIGHT, EPOCH)], F.lit(1).cast("long").alias(WEIGHT), F.lit(0).alias(EPOCH))
+
+    def _with(self, other: Collection) -> tuple[DataFrame, list[Collection], bool, bool]:
+        if isinstance(other, _Shape):
+            return other.rows, self.constants + other.constants, other.keeps, other.is_set
+        return other.df, [*self.constants, other], False, False
+
+    def select(self, *exprs: Column | str) -> Collection:
+        return _Shape(self._mapped(lambda rows: rows.select(*exprs)), self.constants)
+
+    def where(self, predicate: Column | str) -> Collection:
+        return _Shape(self._mapped(lambda rows: rows.filter(predicate)), self.constants, is_set=self.is_set)
+
+    def select_many(self, array: Column, name: str, *keep: str) -> Collection:
+        return _Shape(self._mapped(lambda rows: rows.select(*keep, F.explode(array).alias(name))), self.constants)
+
+    def concat(self, other: Collection) -> Collection:
+        _, constants, keeps, _ = self._with(other)
+        return _Shape(self.rows, constants, self.keeps or keeps)
+
+    def consolidate(self) -> Collection:
+        return self
+
+    def partition_by(self, *keys: str) -> Collection:
+        return self
+
+    def distinct(self) -> Collection:
+        return _Shape(self.rows, self.constants, self.keeps, True)
+
+    def union(self, other: Collection) -> Collection:
+        _, constants, keeps, is_set = self._with(other)
+        return _Shape(self.rows, constants, self.keeps or keeps, self.is_set and is_set)
+
+    def intersect(self, other: Collection) -> Collection:
+        _, constants, keeps, is_set = self._with(other)
+        return _Shape(self.rows, constants, self.keeps and keeps, self.is_set and is_set)
+
+    def join(self, other: Collection, keys: Sequence[str], *result: Column | str) -> Collection:
+        right, constants, _, _ = self._with(other)
+        hidden = ("wa", "ea", "wb", "eb")
+        a, b = (self._empty(df).withColumnsRenamed({WEIGHT: f"w{side}", EPOCH: f"e{side}"}) for df, side in ((self.rows, "a"), (right, "b")))
+        both = a.join(b, list(keys))
+        cols = result or [c for c in both.columns if c not in hidden]
+        out = self._row_by_row(self._empty(both), lambda rows: rows.select(*cols), hidden)
+        return _Shape(out.withColumns({WEIGHT: F.lit(1).cast("long"), EPOCH: F.lit(0)}), constants)

@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fluxmere.operators.zset import Collection, InputCollection, to_weighted
+from fluxmere.operators.zset import Collection, InputCollection, _Shape, to_weighted
 from fluxmere.plans.deltas import epoch_deltas
 
 
@@ -131,6 +132,52 @@ def test_fixed_points(spark):
     assert rows(plain.at(), "x") == rows(late.at(), "x")
 
 
+def test_priorities_enter_at_once_where_their_order_cannot_tell(spark, monkeypatch):
+    from fluxmere import storage
+
+    cuts, cut = [], storage.cut
+    monkeypatch.setattr(storage, "cut", lambda df: cuts.append(1) or cut(df))
+    c = coll(spark, [(str(i), 1, i % 3) for i in range(40)] + [("7", -1, 2)])
+    edges = Collection(c.df.select("x", F.concat("x", F.lit("'")).alias("to"), "weight", F.lit(0).alias("epoch")).filter("weight > 0"))
+    down = lambda x: x.concat(x.where("x like '1%'").join(edges, ["x"], F.col("to").alias("x"))).distinct()
+    got = c.general_fixed_point(down, F.col("x").cast("long") * 10)
+    assert len(cuts) < 10  # two rounds and more for each of 40 priorities before
+    want = [str(i) for i in range(40) if i != 7] + [f"{i}'" for i in range(40) if str(i)[0] == "1"]
+    assert rows(got.at(), "x", "weight") == sorted([(x, 1) for x in want], key=str)
+    assert rows(got.df, "x", "weight", "epoch") == rows(c.fixed_point(down).df, "x", "weight", "epoch")
+
+
+def test_priorities_keep_their_order_where_it_tells(spark):
+    c = coll(spark, [("a", 1, 0), ("b", 1, 0)])
+    turn = F.when(F.col("x") == "a", 1).otherwise(0)
+    # c comes where b is without a, as it is before a enters
+    def lone(x):
+        b, a = (x.where(f"x = '{k}'").select(F.lit("c").alias("x")) for k in "ba")
+        return x.concat(b.except_(b.join(a, ["x"]))).distinct()
+
+    assert rows(c.general_fixed_point(lone, turn).at(), "x") == [("a",), ("b",), ("c",)]
+    assert rows(c.fixed_point(lone).at(), "x") == [("a",), ("b",)]
+    shape = lambda body: _Shape.constants_of(body, c)
+    assert shape(lambda x: x.concat(x.select(F.upper("x").alias("x"))).distinct()) == []
+    for body in (
+        lambda x: x.select(F.upper("x").alias("x")).distinct(),  # keeps nothing
+        lambda x: x.concat(x.where("weight > 1")).distinct(),
+        lambda x: x.concat(x.select(F.to_json(F.struct("*")).alias("x"))).distinct(),
+        lambda x: x.concat(x.select(F.max("x").over(Window.partitionBy(F.lit(1))).alias("x"))).distinct(),
+        lambda x: x.concat(x.select(F.max("x").alias("x"))).distinct(),
+        lambda x: x.concat(x.where(F.rand() < 0.5)).distinct(),
+        lambda x: x.concat(x.where("x = 'a'").negate()).distinct(),
+        lambda x: x.concat(x.join(c, ["x"], F.col("ea").cast("string").alias("x"))).distinct(),
+        lambda x: x.concat(Collection(x.df.filter("x = 'a'"))).distinct(),
+        lambda x: x.concat(x.min(["x"], F.col("x"))).distinct(),
+        lambda x: x.concat(x),  # weights grow
+    ):
+        assert shape(body) is None
+    # a constant that takes away: seen by its weights
+    less = coll(spark, [("a", -1, 0)])
+    assert rows(c.general_fixed_point(lambda x: x.concat(less).distinct(), turn).at(), "x") == [("b",)]
+
+
 def test_subscribe_and_empty(spark):
     seen = []
     coll(spark, [("a", 1, 0), ("a", -1, 1), ("b", 1, 1)]).subscribe(lambda e, r: seen.append((e, sorted((x.x, x.weight) for x in r))))
