@@ -959,9 +959,8 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _collected(df: DataFrame, mode: str) -> DataFrame:
-    name = f"t_{uuid.uuid4().hex[:10]}"
-    streams.to_table(df, name, mode)
-    return df.sparkSession.table(name)
+    base = f"{storage.shared_dir(df.sparkSession)}/collected-{uuid.uuid4().hex[:10]}"
+    return streams.to_files(df, f"{base}/out", f"{base}/check", mode)
 
 
 @query("SELECT event_type, COUNT(*) AS count FROM events GROUP BY event_type")

@@ -104,6 +104,26 @@ def for_each_epoch(df: DataFrame, action: Callable[[DataFrame, int], None], chec
     return q
 
 
+def to_files(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run all that is available into files below ``out``, and read these: no row passes the driver.
+
+    A folder an epoch, written over, so a repeated one is harmless; in complete mode an epoch
+    holds all rows, so that the ones before it are deleted."""
+    fs, base = file_system(df.sparkSession, out)
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{EPOCH}={epoch}")
+        if mode == "complete":
+            for f in fs.listStatus(base):
+                if int(f.getPath().getName().split("=")[1]) < epoch:
+                    fs.delete(f.getPath(), True)
+
+    fs.mkdirs(path(out))
+    for_each_epoch(df, write, checkpoint, mode)
+    return df.sparkSession.read.schema(df.schema).parquet(*[f.getPath().toString() for f in fs.listStatus(base)] or [out])
+
+
 def changes_of(counts: DataFrame, keys: list[str], value: str, out: str, checkpoint: str) -> StreamingQuery:
     """Weighted changes of an update-mode aggregate, written per epoch below ``out``: the old row
     with weight -1, the new one with +1; rows that stay as they were are no change.

@@ -267,6 +267,23 @@ def test_frontier_is_reported(spark, tmp_path):
     assert (0, 2) in seen
 
 
+def test_streamed_rows_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    from fluxmere.plans import catalogue
+
+    monkeypatch.setattr(streams, "to_table", None)  # rows in a memory table are the driver's
+    for i, ws in enumerate((["a", "b"], ["a"], ["c", "c"])):
+        pd.DataFrame({"w": ws}).to_parquet(tmp_path / f"{i}.parquet")
+    read = lambda: streams.file_epochs(spark, str(tmp_path / "*.parquet"), "w string")
+    assert rows(catalogue._collected(read(), "append")) == [("a",), ("a",), ("b",), ("c",), ("c",)]
+    assert rows(catalogue._collected(streams.streaming_count(read(), "w"), "complete")) == [("a", 2), ("b", 1), ("c", 2)]
+    assert len(rows(catalogue._collected(streams.streaming_count(read(), "w"), "update"))) == 4
+    got = streams.to_files(streams.streaming_count(read(), "w"), str(tmp_path / "out"), str(tmp_path / "check"), "complete")
+    assert got.count() == 3 and [p.name for p in (tmp_path / "out").glob("epoch=*")] == ["epoch=2"]
+    (tmp_path / "none").mkdir()
+    none = streams.to_files(streams.file_epochs(spark, str(tmp_path / "none"), "w string"), str(tmp_path / "out2"), str(tmp_path / "check2"))
+    assert none.columns == ["w"] and none.count() == 0
+
+
 def test_text_helpers(spark):
     from fluxmere.functions import text
 
