@@ -6,9 +6,10 @@ records (distinct, set operations) is null-safe, join keys compare by plain equa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,9 +121,96 @@ def co_group(a: DataFrame, b: DataFrame, keys: Sequence[str], left: Column, righ
     return a.groupBy(EPOCH, *keys).agg(left.alias("left")).join(b.groupBy(EPOCH, *keys).agg(right.alias("right")), [EPOCH, *keys], "full")
 
 
+#: Types whose values look the same in pandas whatever rows are beside them, but for nulls.
+FLAT = {"byte", "short", "integer", "long", "boolean", "float", "double", "string", "date", "timestamp", "timestamp_ntz", "decimal", "binary"}
+
+
+def _frame(rows: pd.DataFrame | list[tuple], names: Sequence[str]) -> pd.DataFrame:
+    return rows if isinstance(rows, pd.DataFrame) else pd.DataFrame(rows, columns=names, dtype=object)
+
+
 def co_group_by(a: DataFrame, b: DataFrame, keys: Sequence[str], reducer: Callable, schema: str) -> DataFrame:
-    """Opaque reducer over both sides' pandas rows of one key and epoch."""
-    return a.groupBy(EPOCH, *keys).cogroup(b.groupBy(EPOCH, *keys)).applyInPandas(reducer, schema)
+    """Opaque reducer over both sides' pandas rows of one key and epoch: gives a pandas frame, or a
+    list of tuples in the order of ``schema``.
+
+    Rows of many groups go to Python in one batch, sorted by key, and are cut there; one
+    group is held at a time. Only nested columns, whose pandas form depends on the other rows
+    of a batch, take a round trip a group."""
+    by, names = [EPOCH, *keys], a.sparkSession.createDataFrame([], schema).columns
+    if {f.dataType.typeName() for df in (a, b) for f in df.schema} - FLAT:
+        return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(lambda x, y: _frame(reducer(x, y), names), schema)
+    # other types have the same pandas type with nulls and without
+    plain = {c: {f.name: f.dataType.typeName() for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "boolean")} for c, df in (("a", a), ("b", b))}
+
+    def side(df: DataFrame, own: str) -> DataFrame:
+        cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(by)] + [F.lit(own == "b").alias("right")]
+        for tag, of in (("a", a), ("b", b)):
+            for i, f in enumerate(of.schema):
+                c = F.col(f"`{f.name}`") if tag == own else F.lit(None).cast(f.dataType)
+                if f.name in plain[tag]:
+                    cols.append((c.isNull() if tag == own else F.lit(False)).alias(f"{tag}{i}_null"))
+                    c = F.coalesce(c, F.lit(0).cast(f.dataType))
+                cols.append(c.alias(f"{tag}{i}"))
+        return df.select(*cols)
+
+    k = [f"k{i}" for i in range(len(by))]
+    rows = side(a, "a").unionByName(side(b, "b"))
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy(*k).orderBy("right")) == 1).drop(*k)
+    columns = {"a": a.columns, "b": b.columns}
+    def part(pdf: pd.DataFrame, tag: str) -> Callable[[int, int], pd.DataFrame]:
+        """(from, to) -> these rows, as they would be without the others."""
+        frame = pdf[[f"{tag}{i}" for i in range(len(columns[tag]))]].set_axis(columns[tag], axis=1)
+        flags = {c: pdf[f"{tag}{i}_null"].to_numpy(bool) for i, c in enumerate(columns[tag]) if c in plain[tag]}
+        flags = {c: f for c, f in flags.items() if f.any()}
+
+        def get(i: int, j: int) -> pd.DataFrame:
+            out = frame.iloc[i:j]
+            out.index = pd.RangeIndex(j - i)
+            for c, f in flags.items():
+                if f[i:j].any():
+                    kind, none = (object, None) if plain[tag][c] == "boolean" else ("float64", float("nan"))
+                    values = out[c].to_numpy().astype(kind)
+                    values[f[i:j]] = none
+                    out = out.assign(**{c: values})
+            return out
+
+        return get
+
+    def reduced(pdf: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
+        """Results of whole groups; frames of one kind come as one, so that none changes its types."""
+        right = pdf["right"].to_numpy(bool)
+        left, other = part(pdf[~right], "a"), part(pdf[right], "b")
+        at = [0, *(~right).cumsum().tolist()]
+        tuples, frames = [], []
+        for i, j in zip(starts, [*starts[1:], len(pdf)]):
+            out = reducer(left(at[i], at[j]), other(i - at[i], j - at[j]))
+            if not isinstance(out, pd.DataFrame):
+                tuples += out
+                continue
+            if frames and not out.dtypes.equals(frames[-1].dtypes):
+                yield pd.concat(frames, ignore_index=True)
+                frames = []
+            frames.append(out)
+        if frames:
+            yield pd.concat(frames, ignore_index=True)
+        if tuples:
+            yield _frame(tuples, names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            starts = pdf["first"].to_numpy(bool).nonzero()[0].tolist()
+            if not starts:
+                held.append(pdf)
+                continue
+            if held:
+                yield from reduced(pd.concat([*held, pdf.iloc[: starts[0]]], ignore_index=True), [0])
+            yield from reduced(pdf.iloc[starts[0] : starts[-1]], [i - starts[0] for i in starts[:-1]])
+            held = [pdf.iloc[starts[-1] :]]
+        if held:
+            yield from reduced(pd.concat(held, ignore_index=True), [0])
+
+    return rows.mapInPandas(run, schema)
 
 
 def semi_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

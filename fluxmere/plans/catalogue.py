@@ -187,9 +187,9 @@ def l1_co_group(spark, d):
     return l1.co_group(of_type(spark, d, "click"), of_type(spark, d, "error"), ["user_id"], F.count("*"), F.count("*"))
 
 
-def _net(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    key = (a if len(a) else b).iloc[0]
-    return pd.DataFrame({"epoch": [key.epoch], "user_id": [key.user_id], "net": [len(a) - len(b)]})
+def _net(a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
+    some = a if len(a) else b
+    return [(some["epoch"].iat[0], some["user_id"].iat[0], len(a) - len(b))]
 
 
 @query(f"WITH {EV} SELECT epoch, user_id, COALESCE(l.n, 0) - COALESCE(r.n, 0) AS net FROM {_sides('click')} l FULL JOIN {_sides('error')} r USING (epoch, user_id)")

@@ -267,6 +267,35 @@ def test_frontier_is_reported(spark, tmp_path):
     assert (0, 2) in seen
 
 
+def test_co_grouped_rows_go_to_python_in_batches(spark):
+    big = 2**53 + 1
+    a = spark.createDataFrame([(i % 2, i % 7 or None, big + i, None if i == 3 else i > 4, f"s{i}", 0.5) for i in range(60)], "epoch int, k int, n long, f boolean, s string, d double")
+    b = spark.createDataFrame([(i % 2, i % 9, None if i % 11 == 0 else big + i, 2.0) for i in range(80)], "epoch int, k int, n long, `d x` double")
+    b = b.withColumn("t", F.timestamp_seconds(F.col("n") % 1000))
+
+    def seen(x, y):
+        some = x if len(x) else y
+        kinds = "|".join(",".join(f"{c}:{z[c].dtype}" for c in z.columns) + repr(sorted(map(str, z.to_dict("records")))) + repr(list(z.index)) for z in (x, y))
+        return pd.DataFrame({"epoch": [some.epoch.iloc[0]], "kinds": [kinds], "n": [x.n.max() if len(x) else None]})
+
+    schema = "epoch int, kinds string, n long"
+    want = a.groupBy("epoch", "k").cogroup(b.groupBy("epoch", "k")).applyInPandas(seen, schema)
+    got = l1.co_group_by(a, b, ["k"], seen, schema)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" in plan and "CoGroups" not in plan  # which takes a round trip a group
+    for size in ("10000", "3"):  # groups that lie in several batches, too
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert rows(got) == rows(want)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nested = b.withColumn("xs", F.array("n"))
+    assert rows(l1.co_group_by(a, nested, ["k"], seen, schema)) == rows(a.groupBy("epoch", "k").cogroup(nested.groupBy("epoch", "k")).applyInPandas(seen, schema))
+    sizes = l1.co_group_by(a, b, ["k"], lambda x, y: [(len(x), len(y), None)] * (len(x) > 3), "p long, q long, r string")
+    assert sum(r.p for r in sizes.collect()) == sum(r[2] for r in rows(a.groupBy("epoch", "k").count()) if r[2] > 3)
+    assert l1.co_group_by(a.limit(0), b.limit(0), ["k"], seen, schema).count() == 0
+
+
 def test_streamed_rows_stay_off_the_driver(spark, tmp_path, monkeypatch):
     from fluxmere.plans import catalogue
 
