@@ -26,11 +26,23 @@ def word_count_changes(lines: Collection, column: str = "text") -> Collection:
     return lines.select_many(F.split(column, " "), "word").count("word")
 
 
+def terms(df: DataFrame, column: str = "text", *keep: str) -> DataFrame:
+    """A row per distinct word of ``column`` in each row: as ``words``, without repeats."""
+    return df.select(*keep, F.explode(F.array_distinct(F.split(column, r"[ \t\n\x0b\f\r]+"))).alias("word")).filter("word <> ''")
+
+
 def search(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """(document, query): documents (id, text) with at least ``threshold`` distinct terms of a
-    query (id, text, threshold). Terms are grouped on the smaller side's keys; counts combine
-    before they are exchanged."""
-    d = words(documents, "text", F.col("id").alias("document")).distinct()
+    query (id, text, threshold). A document's terms are made distinct in its row and stay
+    together, so that its counts combine before they are exchanged; only documents of several
+    rows have theirs exchanged. Which ids are repeated is found first."""
+    repeated = storage.cut(documents.groupBy(F.col("id").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"))
+    name = F.col("id").alias("document")
+    if repeated.isEmpty():
+        d = terms(documents, "text", name)
+    else:
+        same = F.col("id").eqNullSafe(F.col("again"))
+        d = terms(documents.join(repeated, same, "left_anti"), "text", name).unionByName(terms(documents.join(repeated, same, "left_semi"), "text", name).distinct())
     q = words(queries, "text", F.col("id").alias("query"), "threshold").distinct()
     hits = d.join(q, "word").groupBy("document", "query", "threshold").agg(F.count("*").alias("n"))
     return hits.filter(F.col("n") >= F.col("threshold")).select("document", "query", "threshold")

@@ -175,6 +175,21 @@ def test_search_threshold(spark):
     assert rows(algorithms.search(d, q).select("document", "query")) == [(1, 7), (1, 8), (2, 8)]
 
 
+def test_search_exchanges_counts_and_not_terms(spark):
+    d = spark.createDataFrame([(1, "a b c a"), (2, "a a a"), (None, "b b"), (4, "")], "id long, text string")
+    q = spark.createDataFrame([(7, "a b a", 2), (8, "a", 1), (9, "b", 1)], "id long, text string, threshold int")
+    found = algorithms.search(d, q)
+    assert rows(found.select("document", "query")) == [(1, 7), (1, 8), (1, 9), (2, 8), (None, 9)]
+    # the document's side of the join: no distinct, which moves every term
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2  # the hits, and the distinct terms of queries
+    # a document in several rows still has each term once
+    more = d.union(spark.createDataFrame([(2, "b a"), (None, "a b"), (2, None)], "id long, text string"))
+    assert rows(algorithms.search(more, q).select("document", "query")) == [(1, 7), (1, 8), (1, 9), (2, 7), (2, 8), (2, 9), (None, 7), (None, 8), (None, 9)]
+    twice = spark.createDataFrame([(5, "a b"), (5, "a")], "id long, text string")
+    assert rows(algorithms.search(twice, q.filter("id = 8").withColumn("threshold", F.lit(2)))) == []
+
+
 def test_files(spark, tmp_path):
     p = tmp_path / "e.txt"
     p.write_text("# comment\n1 2\n\n3\t4\n")
